@@ -6,14 +6,15 @@ once per application and folder, into the shared folder, so that queries scan Pa
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contract import toys
 from reelsift import schemas
 from reelsift.operators.detections import det_normalise
-from reelsift.operators.skew import number_within
+from reelsift.operators.skew import number_within, split_large_groups
 from reelsift.session import scratch_path
 from reelsift.sources.frames import frame_scan
 
@@ -31,6 +32,8 @@ LINE_ORDER = (
     "l_linestatus",
 )
 
+NESTED_ROWS = 4096  # detections or regions of one frame that may form one row
+
 _open: dict[tuple[str, str], Tables] = {}
 
 
@@ -145,6 +148,54 @@ class Tables:
         )
         return self.regions.selectExpr(*schemas.FRAME_COLUMNS, f"array({points}) AS poly")
 
+    @cached_property
+    def nested(self) -> tuple[DataFrame, DataFrame | None]:
+        """Frames with their detections and regions as arrays, and the keys of frames that have
+        too many of either to be one row; these stay in long form.
+        """
+        large = [
+            part.select("frame_key").distinct()
+            for _, part in (
+                split_large_groups(df, ["frame_key"], NESTED_ROWS) for df in (self.det, self.regions)
+            )
+            if part is not None
+        ]
+        oversized = reduce(DataFrame.union, large).distinct() if large else None
+
+        def arrays(df: DataFrame, field: str, name: str) -> DataFrame:
+            if oversized is not None:
+                df = df.join(oversized, "frame_key", "left_anti")
+            members = [f.name for f in schemas.NESTED[field].dataType.elementType.fields]
+            return df.groupBy("frame_key").agg(F.collect_list(F.struct(*members)).alias(name))
+
+        frames = self.frames
+        if oversized is not None:
+            frames = frames.join(oversized, "frame_key", "left_anti")
+        rows = frames.join(arrays(self.det, "detections", "detections"), "frame_key", "left").join(
+            arrays(self.regions, "regions", "regions"), "frame_key", "left"
+        )
+        return self._written(rows.select(*schemas.NESTED.names), "nested"), oversized
+
+    def nested_stream(self) -> DataFrame:
+        """The nested frames as a stream of files."""
+        path = self.nested[0].inputFiles()[0].rsplit("/", 1)[0]
+        return self.spark.readStream.schema(schemas.NESTED).parquet(path)
+
+    @property
+    def pixels(self) -> DataFrame:
+        """Small pictures of all frames: a gradient with one bright rectangle."""
+        small = self.frames.withColumns({"width": F.lit(toys.WIDTH), "height": F.lit(toys.HEIGHT)})
+        drawn = small.select(*schemas.FRAME_COLUMNS).mapInPandas(toys.draw, toys.DRAWN)
+        image = F.struct(
+            F.lit("").alias("origin"),
+            "height",
+            "width",
+            F.lit(toys.CHANNELS).alias("nChannels"),
+            F.lit(16).alias("mode"),
+            "data",
+        )
+        return drawn.withColumn("image", image).drop("data")
+
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     key = (spark.sparkContext.applicationId, sf_dir)

@@ -8,34 +8,40 @@ from pyspark.sql import types as T
 FRAME_COLUMNS = ("video_id", "frame_no", "frame_key", "width", "height")
 BOX_COLUMNS = ("x1", "y1", "x2", "y2")
 
-_frame = "video_id INT, frame_no INT, frame_key BIGINT, width INT, height INT"
-_image = (
-    "image STRUCT<origin: STRING, height: INT, width: INT, nChannels: INT, mode: INT, data: BINARY>"
-)
-_boxes = "x1 INT, y1 INT, x2 INT, y2 INT"
+INT, LONG, DOUBLE, STRING = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
+
 
+def _struct(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
 
+_frame = {c: LONG if c == "frame_key" else INT for c in FRAME_COLUMNS}
+_pixels = {c: DOUBLE for c in BOX_COLUMNS}
+_boxes = {c: INT for c in BOX_COLUMNS}
+_rect = {"rx": INT, "ry": INT, "rw": INT, "rh": INT}
+_image = _struct(
+    origin=STRING, height=INT, width=INT, nChannels=INT, mode=INT, data=T.BinaryType()
+)
 
-MANIFEST = _struct("path STRING")
-VIDEOS = _struct("video_id INT, path STRING, width INT, height INT, fps DOUBLE, total_frames INT")
-FRAMES = _struct(_frame)
-PIXELS = _struct(f"{_frame}, {_image}")
-RAW = _struct(
-    f"{_frame}, model_source STRING, det_seq INT, score DOUBLE, label INT, "
-    "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
+MANIFEST = _struct(path=STRING)
+VIDEOS = _struct(
+    video_id=INT, path=STRING, width=INT, height=INT, fps=DOUBLE, total_frames=INT
 )
+FRAMES = _struct(**_frame)
+PIXELS = _struct(**_frame, image=_image)
+RAW = _struct(**_frame, model_source=STRING, det_seq=INT, score=DOUBLE, label=INT, **_pixels)
 DETECTIONS = _struct(
-    f"{_frame}, model_source STRING, det_seq INT, {_boxes}, confidence DOUBLE, class_id INT"
+    **_frame, model_source=STRING, det_seq=INT, **_boxes, confidence=DOUBLE, class_id=INT
+)
+REGIONS = _struct(**_frame, line_no=INT, **_rect)
+OCR = _struct(**_frame, poly=T.ArrayType(_struct(x=DOUBLE, y=DOUBLE)))
+NESTED_DETECTION = _struct(
+    det_seq=INT, model_source=STRING, class_id=INT, confidence=DOUBLE, **_boxes
 )
-REGIONS = _struct(f"{_frame}, line_no INT, rx INT, ry INT, rw INT, rh INT")
-OCR = _struct(f"{_frame}, poly ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>")
 NESTED = _struct(
-    f"{_frame}, detections ARRAY<STRUCT<model_source: STRING, det_seq: INT, class_id: INT, "
-    "confidence: DOUBLE, x1: INT, y1: INT, x2: INT, y2: INT>>, "
-    "regions ARRAY<STRUCT<rx: INT, ry: INT, rw: INT, rh: INT>>"
+    **_frame,
+    detections=T.ArrayType(NESTED_DETECTION),
+    regions=T.ArrayType(_struct(**_rect)),
 )
 
 
