@@ -227,15 +227,15 @@ def _pixel_sum(x0: str, x1: str, y0: str, y1: str) -> str:
 
 PICTURES = f"""pics AS (
   SELECT video_id, frame_no, frame_key, {toys.WIDTH} AS width, {toys.HEIGHT} AS height,
-    CAST(frame_key % 16 AS INT) AS bx, CAST(frame_key * 7 % 12 AS INT) AS by,
+    CAST(frame_key % 16 AS INT) AS bx, CAST(frame_key * 7 % 12 AS INT) AS bt,
     CAST(4 + frame_key % 13 AS INT) AS bw, CAST(3 + frame_key % 10 AS INT) AS bh,
     CAST(frame_key % 5 AS INT) AS label, {toys.HEIGHT} - CAST(trunc({toys.HEIGHT} * 0.75e0) AS INT) AS strip
   FROM frames)"""
 BRIGHT_SUBJECT = f"""bright AS (
-  SELECT video_id, frame_no, frame_key, width, height, bx AS x1, by AS y1, bx + bw AS x2, by + bh AS y2,
+  SELECT video_id, frame_no, frame_key, width, height, bx AS x1, bt AS y1, bx + bw AS x2, bt + bh AS y2,
     {_category("label")} AS category, label FROM pics)"""
 
-_o = "greatest(bx, crop_x), least(bx + bw, crop_x + crop_w), greatest(by, crop_y), least(by + bh, crop_y + crop_h)"
+_o = "greatest(bx, crop_x), least(bx + bw, crop_x + crop_w), greatest(bt, crop_y), least(bt + bh, crop_y + crop_h)"
 
 
 def _with(body: str, *parts: str) -> str:
@@ -433,19 +433,19 @@ def oracle_sql() -> dict[str, str]:
         ),
         "infer_detections": _with(
             f"""SELECT {FRAME}, 'yolo' AS model_source, 1 AS det_seq, 0.5e0 + label * 0.05e0 AS score, label,
-                  bx + 0.25e0 AS x1, by + 0.25e0 AS y1, bx + bw + 0.5e0 AS x2, by + bh + 0.5e0 AS y2 FROM pics""",
+                  bx + 0.25e0 AS x1, bt + 0.25e0 AS y1, bx + bw + 0.5e0 AS x2, bt + bh + 0.5e0 AS y2 FROM pics""",
             FRAMES, PICTURES,
         ),
         "extract_regions": _with(
-            f"""SELECT {FRAME}, 1 AS line_no, bx AS rx, CAST(greatest(by - (height - strip), 0) AS INT) AS ry, bw AS rw,
-                  CAST(by + bh - greatest(by, height - strip) AS INT) AS rh
-                FROM pics WHERE by + bh > height - strip""",
+            f"""SELECT {FRAME}, 1 AS line_no, bx AS rx, CAST(greatest(bt - (height - strip), 0) AS INT) AS ry, bw AS rw,
+                  CAST(bt + bh - greatest(bt, height - strip) AS INT) AS rh
+                FROM pics WHERE bt + bh > height - strip""",
             FRAMES, PICTURES,
         ),
         "crop_pixels": _with(
             f"""SELECT frame_key, crop_w AS width, crop_h AS height, crop_w * crop_h * 3 AS bytes,
                   CAST({_pixel_sum(*crop_xyxy)} - {_pixel_sum(ox0, ox1, oy0, oy1)} + {bright} AS BIGINT) AS total
-                FROM crop JOIN (SELECT frame_key, bx, by, bw, bh FROM pics) USING (frame_key)""",
+                FROM crop JOIN (SELECT frame_key, bx, bt, bw, bh FROM pics) USING (frame_key)""",
             FRAMES, PICTURES, BRIGHT_SUBJECT, _crop("bright", "1e0", 4),
         ),
         "stream_harvest": _with(f"SELECT {CROPS} FROM saved", *ALL_RUN),

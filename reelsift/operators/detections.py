@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelsift import schemas
@@ -40,14 +40,11 @@ def det_categorise(det: DataFrame) -> DataFrame:
 
 def categorise_nested(frames: DataFrame) -> DataFrame:
     """Nested form: the ``detections`` array of each frame split into three, order kept."""
-    return frames.withColumns(
-        {
-            name: F.filter(
-                "detections", lambda d, name=name: classes.category(d["class_id"]) == name
-            )
-            for name in classes.CATEGORIES
-        }
-    )
+
+    def of(name: str) -> Column:
+        return F.filter("detections", lambda d: classes.category(d["class_id"]) == name)
+
+    return frames.withColumns({name: of(name) for name in classes.CATEGORIES})
 
 
 def model_subset(det: DataFrame, models: Sequence[str]) -> DataFrame:
