@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def crop_box(
         .when(c("head_space") > F.lit(params.max_head_space), nudge)
         .otherwise(0)
     )
-    return (
+    placed = (
         fitted.withColumn("_shift", shift)
         .withColumns(
             {
@@ -90,8 +92,17 @@ def crop_box(
                 "crop_y": clamp(c("_top"), c("height") - c("crop_h")),
             }
         )
-        .drop("_ratio", "_pw", "_ph", "_wide", "_cw", "_ch", "_scale", "_shift", "_left", "_top")
     )
+    return _computed_once(placed, subjects.columns, CROP_COLUMNS)
+
+
+def _computed_once(df: DataFrame, keep: Sequence[str], computed: Sequence[str]) -> DataFrame:
+    """Hand ``computed`` on through a one-row generator.
+
+    Spark would rewrite a later filter on these columns in terms of the first inputs, where every
+    shared step of the chain is spelled out again and again. It does not look behind a generator.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*computed))))
 
 
 def crop_quality(crops: DataFrame) -> DataFrame:

@@ -78,11 +78,12 @@ def _job(
         model = _model(key, make_model)
         for batch in batches:
             arrays = _arrays(batch)
+            columns = [batch[c].tolist() for c in schemas.FRAME_COLUMNS]
+            keys = list(zip(*columns))
             rows = []
-            for start in range(0, len(batch), size):
-                part = batch.iloc[start : start + size]
-                keys = part[list(schemas.FRAME_COLUMNS)].itertuples(index=False, name=None)
-                for frame_key, results in zip(keys, model(arrays[start : start + size])):
+            for start in range(0, len(keys), size):
+                part = slice(start, start + size)
+                for frame_key, results in zip(keys[part], model(arrays[part])):
                     rows.extend((*frame_key, i, *r) for i, r in enumerate(results, 1))
             yield pd.DataFrame(rows, columns=output.names)
 
@@ -129,7 +130,7 @@ def crop_pixels(frames: DataFrame, crops: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            spots = batch[list(CROP_COLUMNS)].itertuples(index=False, name=None)
+            spots = zip(*(batch[c].tolist() for c in CROP_COLUMNS))
             batch["_data"] = [
                 pixels[y : y + h, x : x + w].tobytes()
                 for pixels, (x, y, w, h) in zip(_arrays(batch), spots)
