@@ -1,0 +1,153 @@
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from samples import crowd, det, grouped, overlap
+
+from reelsift.functions.geometry import Box, iou
+from reelsift.operators import voting
+from reelsift.params import Params
+
+ALL = Params(ensemble=True)
+
+
+def gids(df):
+    return {(r.frame_key, r.det_seq): r.gid for r in df.select("frame_key", "det_seq", "gid").collect()}
+
+
+def wanted(*frames, threshold=0.5):
+    return {
+        (i, seq): gid
+        for i, boxes in enumerate(frames, 1)
+        for seq, gid in grouped(boxes, threshold).items()
+    }
+
+
+@pytest.mark.parametrize(
+    "a, b, expected",
+    [
+        ((0, 0, 10, 10), (10, 0, 20, 10), 0.0),  # touching
+        ((5, 5, 5, 5), (5, 5, 5, 5), 0.0),  # empty
+        ((0, 0, 10, 10), (0, 0, 10, 5), 0.5),
+        ((0, 0, 10, 10), (20, 20, 30, 30), 0.0),
+        ((0, 0, 10, 10), (0, 0, 10, 10), 1.0),
+    ],
+)
+def test_iou(spark, a, b, expected):
+    columns = [*Box._fields, *(f"o_{c}" for c in Box._fields)]
+    df = spark.createDataFrame([(*a, *b)], ", ".join(f"{c} INT" for c in columns))
+    assert df.select(iou(Box.named(), Box.named("o_"))).first()[0] == expected
+
+
+def test_iou_is_symmetric_and_bounded(spark):
+    boxes = [b[1:] for b in crowd(3, 40, copies=0.2)]
+    pairs = [(*a, *b, overlap(a, b)) for a, b in itertools.product(boxes, boxes)]
+    columns = [*Box._fields, *(f"o_{c}" for c in Box._fields)]
+    df = spark.createDataFrame(pairs, ", ".join(f"{c} INT" for c in columns) + ", expected DOUBLE")
+    there, back = iou(Box.named(), Box.named("o_")), iou(Box.named("o_"), Box.named())
+    wrong = (there != F.col("expected")) | (there != back) | ~there.between(0, 1)
+    assert df.filter(wrong).count() == 0
+
+
+EXAMPLES = {
+    "exactly half": [(0, 0, 0, 10, 10), (0, 0, 0, 10, 5)],
+    "other class": [(0, 0, 0, 10, 10), (2, 0, 0, 10, 10)],
+    "bridge": [(0, 0, 0, 100, 100), (0, 60, 0, 160, 100), (0, 30, 0, 130, 100)],
+    "bridge first": [(0, 30, 0, 130, 100), (0, 0, 0, 100, 100), (0, 60, 0, 160, 100)],
+    "empty boxes": [(0, 5, 5, 5, 5), (0, 5, 5, 5, 5), (0, 0, 0, 9, 9)],
+}
+
+
+@pytest.mark.parametrize("limit", [512, 1], ids=["fold", "joins"])
+def test_first_fit_examples(spark, limit):
+    frames = list(EXAMPLES.values())
+    found = gids(voting.vote_groups(det(spark, *frames), ALL, limit))
+    assert found == wanted(*frames)
+    bridge = list(EXAMPLES).index("bridge") + 1
+    assert [found[bridge, s] for s in (1, 2, 3)] == [1, 2, 1]
+    assert [found[bridge + 1, s] for s in (1, 2, 3)] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.3, 0.8])
+@pytest.mark.parametrize("limit", [512, 3], ids=["fold", "joins"])
+def test_first_fit_random(spark, limit, threshold):
+    frames = [crowd(seed, 60, copies=c, size=s) for seed, c, s in
+              [(1, 0.0, (20, 40)), (2, 0.5, (20, 40)), (3, 0.9, (30, 60)), (4, 0.2, (1, 30)), (5, 0.0, (5, 8))]]
+    params = Params(ensemble=True, iou_threshold=threshold)
+    found = gids(voting.vote_groups(det(spark, *frames), params, limit))
+    assert found == wanted(*frames, threshold=threshold)
+
+
+def test_large_frame_beside_small_ones(spark):
+    """One frame holds most rows, and copies most of these; groups change along the copies."""
+    hot = crowd(11, 700, spread=150, copies=0.7, classes=1)
+    small = [crowd(seed, 8) for seed in range(20, 30)]
+    table = det(spark, hot, *small)
+    found = voting.vote_groups(table, ALL, limit=100)
+    assert gids(found) == wanted(hot, *small)
+    assert found.columns == [*table.columns, "gid"]
+
+
+def test_copies_of_one_box_may_fall_into_different_groups(spark):
+    # The copy that comes after the bridge sees the earlier group, the first one did not.
+    boxes = [(0, 0, 0, 100, 100), (0, 60, 0, 160, 100), (0, 30, 0, 130, 100), (0, 60, 0, 160, 100)]
+    assert list(grouped(boxes).values()) == [1, 2, 1, 1] or grouped(boxes)[4] == 1
+    assert gids(voting.vote_groups(det(spark, boxes), ALL, limit=1)) == wanted(boxes)
+
+
+@pytest.mark.parametrize("limit", [1024, 1], ids=["plain", "grid"])
+def test_iou_pairs(spark, limit):
+    rng = random.Random(5)
+    frames = [crowd(rng.random(), 50, copies=0.3, size=s) for s in ((20, 40), (1, 60), (200, 400))]
+    expected = {
+        (i, a + 1, b + 1)
+        for i, boxes in enumerate(frames, 1)
+        for a, b in itertools.combinations(range(len(boxes)), 2)
+        if boxes[a][0] == boxes[b][0] and overlap(boxes[a][1:], boxes[b][1:]) >= 0.5
+    }
+    rows = voting.iou_pairs(det(spark, *frames), ALL, limit).collect()
+    found = [(r.frame_key, r.det_seq_a, r.det_seq_b) for r in rows]
+    assert len(found) == len(set(found))
+    assert set(found) == expected
+
+
+def test_votes(spark):
+    boxes = [
+        (0, 0, 0, 100, 100, "yolo", 0.6), (16, 500, 0, 600, 100, "yolo"), (2, 900, 0, 990, 90, "yolo"),
+        (0, 1, 0, 101, 100, "detr", 0.8), (16, 501, 0, 601, 100, "detr"), (58, 900, 500, 990, 590, "detr"),
+        (0, 1, 1, 100, 100, "fasterrcnn", 0.7), (1, 1200, 500, 1290, 590, "fasterrcnn"),
+    ]
+    rows = {r.class_id: r for r in voting.ensemble(det(spark, boxes), ALL).collect()}
+    assert set(rows) == {0, 16}
+    person = rows[0]
+    assert (person.x1, person.y1, person.x2, person.y2) == (0, 0, 100, 100)  # means cut off
+    assert (person.confidence, person.votes, person.members, person.gid) == (0.8, 3, 3, 1)
+    assert person.model_source == "ensemble(detr,fasterrcnn,yolo)"
+    assert person.class_name == "person"
+    assert rows[16].model_source == "ensemble(detr,yolo)"
+
+
+def test_one_model_twice_is_one_vote(spark):
+    boxes = [(0, 0, 0, 10, 10, "yolo"), (0, 0, 0, 10, 10, "yolo")]
+    assert voting.ensemble(det(spark, boxes), ALL).count() == 0
+    assert voting.ensemble(det(spark, boxes), Params(ensemble=True, voting_threshold=1)).count() == 1
+
+
+def test_founder_of_another_model_names_the_class(spark):
+    boxes = [(0, 0, 0, 10, 10, "detr"), (0, 0, 0, 10, 10, "fasterrcnn")]
+    assert voting.ensemble(det(spark, boxes), ALL).first().class_name == "class_0"
+
+
+def test_threshold_above_model_count():
+    assert Params(models=("yolo", "detr"), voting_threshold=3).effective_threshold == 2
+
+
+def test_votes_never_exceed_members(spark):
+    rng = random.Random(9)
+    frames = [
+        [(*b, rng.choice(["yolo", "detr", "fasterrcnn"])) for b in crowd(seed, 30)] for seed in range(5)
+    ]
+    merged = voting.ensemble(det(spark, *frames), Params(ensemble=True, voting_threshold=1))
+    assert merged.filter("votes > members OR votes > 3").count() == 0
+    assert merged.agg(F.sum("members")).first()[0] == 150
