@@ -322,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
         "text_gate": _with(
             "SELECT * FROM frames WHERE frame_key NOT IN (SELECT frame_key FROM textframes)", *reg
         ),
-        "iou_of_neighbours": _with(
+        "iou": _with(
             f"""SELECT a.frame_key, a.det_seq, {_iou("a", "b")} AS iou
                 FROM det a JOIN det b ON a.frame_key = b.frame_key AND b.det_seq = a.det_seq + 1""",
             *det,
@@ -374,7 +374,7 @@ def oracle_sql() -> dict[str, str]:
                FROM subj""",
             *det, ANY_SUBJECT,
         ),
-        "aspect_ratio_of_formats": _with(
+        "aspect_ratio": _with(
             """SELECT frame_key, format, ratio, strict_ratio FROM (
                  SELECT frame_key, ['9:16', '3:4', '1:1', '4:5', '16:9', '4:3'][frame_key % 6 + 1] AS format FROM frames)
                JOIN formats USING (format)""",
@@ -405,7 +405,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT video_id, frame_no, outcome FROM outc",
             FRAMES, RAW, DET, REG, VOTES, ALL_SUBJECT, _crop("subj", "4e0 / 5", 100), OUTCOME,
         ),
-        "two_pass_ensemble": _with(
+        "two_pass": _with(
             f"SELECT {CONS} FROM cons",
             *ONE_RUN,
             "again AS (SELECT * FROM det WHERE frame_key IN (SELECT frame_key FROM saved))",

@@ -35,7 +35,7 @@ _shipped: set[str] = set()
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    _registry[build.__name__] = build
+    _registry[build.__name__.rstrip("_")] = build
     return build
 
 
@@ -206,7 +206,7 @@ def text_gate(t: Tables) -> DataFrame:
 
 
 @query
-def iou_of_neighbours(t: Tables) -> DataFrame:
+def iou_(t: Tables) -> DataFrame:
     """IoU of each detection with the next one of its frame."""
     here = t.det.select(*KEY, "x1", "y1", "x2", "y2")
     ahead = here.select(
@@ -288,7 +288,7 @@ def head_space(t: Tables) -> DataFrame:
 
 
 @query
-def aspect_ratio_of_formats(t: Tables) -> DataFrame:
+def aspect_ratio_(t: Tables) -> DataFrame:
     formats = t.frames.select(
         "frame_key", F.get(F.array(*(F.lit(f) for f in FORMATS)), (F.col("frame_key") % 6).cast("int")).alias("format")
     )
@@ -351,7 +351,7 @@ def frame_outcomes(t: Tables) -> DataFrame:
 
 
 @query
-def two_pass_ensemble(t: Tables) -> DataFrame:
+def two_pass_(t: Tables) -> DataFrame:
     return two_pass(t.frames, t.det, t.regions, ALL)
 
 

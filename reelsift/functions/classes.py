@@ -58,7 +58,7 @@ def class_id(model: Column, label: Column, label_map: str = "reference") -> Colu
 
 def class_name(model: Column, ident: Column) -> Column:
     """YOLO names its classes; the other two models yield ``class_<id>``."""
-    names = F.array(*(F.lit(n) for n in COCO_NAMES))
+    names = F.split(F.lit(",".join(COCO_NAMES)), ",")  # folded to a constant array
     generic = F.concat(F.lit("class_"), ident.cast("string"))
     known = (model == "yolo") & ident.between(0, len(COCO_NAMES) - 1)
     return F.when(known, F.get(names, ident)).otherwise(generic)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelsift import schemas
 from reelsift.functions import classes
 from reelsift.functions.geometry import truncated
-from reelsift.operators.skew import WINDOW_ROWS, number_within
+from reelsift.operators.skew import WINDOW_ROWS, broadcast_if_small, number_within
 from reelsift.params import MODELS, Params
 
 
@@ -54,11 +54,12 @@ def model_subset(det: DataFrame, models: Sequence[str]) -> DataFrame:
 def class_map(det: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Category per class id, by the built-in rule or by a table ``(class_id, category)``.
 
-    Ids missing from the table count as objects. Spark broadcasts the table when it is small.
+    Ids missing from the table count as objects. The table is broadcast once counted as small,
+    since few classes hold most detections and a shuffle by class would pile these up.
     """
     if mapping is None:
         return det_categorise(det)
-    table = mapping.select("class_id", "category").dropDuplicates(["class_id"])
+    table = broadcast_if_small(mapping.select("class_id", "category").dropDuplicates(["class_id"]))
     return det.join(table, "class_id", "left").fillna("object", ["category"])
 
 

@@ -10,26 +10,36 @@ from pyspark.sql import functions as F
 from reelsift.session import materialise
 
 WINDOW_ROWS = 1_000_000  # rows of one group a single task may sort (it can spill)
+SMALL_ROWS = 100_000  # rows of a narrow table that may be sent to every executor
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Mark a cheap-to-count table for broadcast when its counted size allows it.
+
+    Beyond that Spark joins by shuffle, where adaptive execution splits skewed partitions.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def split_large_groups(
-    df: DataFrame, keys: Sequence[str], limit: int | None
+    df: DataFrame, keys: Sequence[str], limit: int | None, sized_by: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Split ``df`` into rows of groups with at most ``limit`` rows and rows of larger ones.
 
     Sizes come from one pre-aggregated count over the key columns alone; only its maximum reaches
     the driver. The second part is None when no group is too large, the usual case, and then no
     join is added to the plan. With ``limit`` None the caller vouches for the group sizes.
-    Materialise ``df`` first where computing it is dear.
+    Sizes may be taken from ``sized_by`` instead, a table with all rows of ``df`` and maybe more
+    that is cheaper to compute; materialise ``df`` first where there is none.
     """
     if limit is None:
         return df, None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     largest = sizes.agg(F.max("_rows")).first()[0]
     if largest is None or largest <= limit:
         return df, None
     large = materialise(sizes.filter(F.col("_rows") > limit).select(*keys))
-    keys = list(keys)
+    large, keys = broadcast_if_small(large), list(keys)
     return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
 
 

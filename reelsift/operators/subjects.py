@@ -33,11 +33,11 @@ def primary_subject(det: DataFrame) -> DataFrame:
     """Per frame the detection with the highest score; ties go to person, animal, object, then to
     the earlier detection. A partial ``max_by`` leaves one row per frame and task to shuffle.
     """
-    frame = [c for c in schemas.FRAME_COLUMNS if c in det.columns]
     scored = _categorised(det)
-    kept = F.struct(*(c for c in scored.columns if c not in frame))
+    kept = F.struct(*(c for c in scored.columns if c != "frame_key"))
     rank = F.struct("score", -classes.category_rank(F.col("category")), -_position(det))
-    return scored.groupBy(*frame).agg(F.max_by(kept, rank).alias("_s")).select(*frame, "_s.*")
+    best = scored.groupBy("frame_key").agg(F.max_by(kept, rank).alias("_s"))
+    return best.select("frame_key", "_s.*").select(*scored.columns)
 
 
 def subject_rank(det: DataFrame, limit: int | None = WINDOW_ROWS) -> DataFrame:

@@ -15,13 +15,12 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reelsift import schemas
 from reelsift.functions import classes
 from reelsift.functions.geometry import Box, iou, truncated
 from reelsift.operators.detections import model_subset
-from reelsift.operators.skew import split_large_groups
+from reelsift.operators.skew import broadcast_if_small, split_large_groups
 from reelsift.params import MODELS, Params
 from reelsift.session import materialise
 
@@ -127,49 +126,64 @@ def _grid_join(boxes: DataFrame, threshold: float) -> DataFrame:
 
 
 def vote_groups(
-    det: DataFrame, params: Params = Params(ensemble=True), limit: int | None = FOLD_ROWS
+    det: DataFrame,
+    params: Params = Params(ensemble=True),
+    limit: int | None = FOLD_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``gid``, the ``det_seq`` of the founder of each detection's group.
 
     The detections of a frame and class fit into a row almost always; there the recurrence is a
     fold over the sorted array, after one shuffle by frame that later steps per frame reuse. Larger
-    groups are solved by joins (``_group_large``), with the same result.
+    groups are solved by joins (``_group_large``), with the same result. Sizes are taken from
+    ``sized_by``, a table cheaper to count that holds all rows of ``det``, or from ``det`` itself.
     """
-    usual, large = split_large_groups(det, _GROUP, limit)
+    usual, large = split_large_groups(det, _GROUP, limit, sized_by)
     grouped = _group_by_fold(usual, params.iou_threshold)
     if large is not None:
         grouped = grouped.unionByName(_group_large(large, params.iou_threshold))
     return grouped.select(*det.columns, "gid")
 
 
-def first_fit(members: Column, member_type: T.StructType, threshold: float) -> Column:
-    """Fold an array of detections, in visiting order, into the same array with ``gid`` added."""
-    labelled = T.ArrayType(T.StructType([T.StructField("gid", T.IntegerType()), *member_type.fields]))
-    by_class = "class_id" in member_type.names
+def first_fit(members: Column, threshold: float, by_class: bool) -> Column:
+    """Fold an array of detections in visiting order into an array of ``struct<gid, d>``.
 
+    ``by_class`` compares classes too, for arrays that hold more than one.
+    """
     def matches(earlier: Column, later: Column) -> Column:
-        close = iou(Box.field_of(earlier), Box.field_of(later)) >= F.lit(threshold)
-        return (earlier["class_id"] == later["class_id"]) & close if by_class else close
+        a, b = Box.field_of(earlier), Box.field_of(later)
+        wide = F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)
+        high = F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1)
+        shared = wide.cast("bigint") * high
+        near = (wide > 0) & (high > 0) & (shared / (a.area + b.area - shared) >= F.lit(threshold))
+        return (earlier["class_id"] == later["class_id"]) & near if by_class else near
 
-    def visit(done: Column, d: Column) -> Column:
-        hits = F.filter(done, lambda e: matches(e, d))
-        gid = F.coalesce(F.array_min(F.transform(hits, lambda e: e["gid"])), d["det_seq"])
-        fields = [d[name].alias(name) for name in member_type.names]
-        return F.concat(done, F.array(F.struct(gid.alias("gid"), *fields)))
+    def labelled(gid: Column, d: Column) -> Column:
+        return F.array(F.struct(gid.alias("gid"), d.alias("d")))
 
-    return F.aggregate(members, F.array().cast(labelled), visit)
+    def visit(done: Column, d: Column) -> Column:
+        hits = F.filter(done, lambda e: matches(e["d"], d))
+        first = F.array_min(F.transform(hits, lambda e: e["gid"]))
+        return F.concat(done, labelled(F.coalesce(first, d["det_seq"]), d))
+
+    # the first detection always founds a group, and often is the only one
+    founder = F.get(members, F.lit(0))
+    rest = F.slice(members, 2, F.greatest(F.size(members) - 1, F.lit(0)))
+    return F.when(
+        F.size(members) > 0, F.aggregate(rest, labelled(founder["det_seq"], founder), visit)
+    )
 
 
 def _group_by_fold(det: DataFrame, threshold: float) -> DataFrame:
-    frame = [c for c in schemas.FRAME_COLUMNS if c in det.columns]
-    rest = [c for c in det.columns if c not in (*frame, "class_id", "det_seq")]
-    member = F.struct("det_seq", *rest)
-    member_type = det.select(member.alias("m")).schema["m"].dataType
+    # frame_key leads the keys: it decides nearly every comparison when the aggregate has to sort
+    keys = ["frame_key", "class_id", *(c for c in schemas.FRAME_COLUMNS if c in det.columns and c != "frame_key")]
+    member = F.struct("det_seq", *(c for c in det.columns if c not in (*keys, "det_seq")))
     return (
         det.repartition("frame_key")
-        .groupBy(*frame, "class_id")
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(member)).alias("_members"))
-        .select(*frame, "class_id", F.inline(first_fit(F.col("_members"), member_type, threshold)))
+        .select(*keys, F.inline(first_fit(F.col("_members"), threshold, by_class=False)))
+        .select(*keys, "gid", "d.*")
     )
 
 
@@ -210,26 +224,17 @@ def _group_large(det: DataFrame, threshold: float) -> DataFrame:
     )
     known = fresh = materialise(known)
     while not fresh.isEmpty():
-        offered = (
-            fresh.join(links.select("box", "to", "to_first"), "box")
-            .groupBy(F.col("to").alias("box"), "to_first", "founder")
-            .agg(F.min("reached").alias("since"))
-            .join(known.select("box", F.col("founder").alias("_f"), F.col("since").alias("_s")),
-                  "box", "left")
-            .groupBy("box", "to_first", "founder", "since")
-            .agg(F.bool_or((F.col("_f") <= F.col("founder")) & (F.col("_s") <= F.col("since"))).alias("_old"))
-            .filter(~F.coalesce("_old", F.lit(False)))
-            .drop("_old")
-        )
-        at_first = offered.filter(F.col("since") < F.col("to_first")).withColumn("reached", F.col("to_first"))
+        offered = materialise(_news(_offers(fresh, links), known))
+        at_first = offered.filter(F.col("since") < F.col("to_first"))
+        between = broadcast_if_small(offered.filter(F.col("since") > F.col("to_first")))
         later_copy = (
-            offered.filter(F.col("since") > F.col("to_first"))
-            .join(repeated, "box")
+            repeated.join(between, "box")
             .filter(F.col("det_seq") > F.col("since"))
-            .groupBy("box", "to_first", "founder", "since")
+            .groupBy(*offered.columns)
             .agg(F.min("det_seq").alias("reached"))
         )
-        fresh = materialise(at_first.unionByName(later_copy).drop("to_first"))
+        fresh = at_first.withColumn("reached", F.col("to_first")).unionByName(later_copy)
+        fresh = materialise(fresh.drop("to_first"))
         known = materialise(_improving(known.unionByName(fresh)))
 
     next_label = Window.partitionBy("box").orderBy("since")
@@ -239,13 +244,35 @@ def _group_large(det: DataFrame, threshold: float) -> DataFrame:
         .select(*_BOX, "since", "until", F.col("founder").alias("gid"))
     )
     reached = (
-        det.join(spans, _BOX)
+        det.join(broadcast_if_small(spans), _BOX)
         .filter((F.col("det_seq") > F.col("since")) & (F.col("det_seq") <= F.col("until")))
         .select(*alone.columns)
     )
     return alone.unionByName(reached)
 
 
+def _offers(fresh: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels passed on to matching boxes, per box and founder the one that reaches it first."""
+    return (
+        fresh.join(links.select("box", "to", "to_first"), "box")
+        .groupBy(F.col("to").alias("box"), "to_first", "founder")
+        .agg(F.min("reached").alias("since"))
+    )
+
+
+def _news(offered: DataFrame, known: DataFrame) -> DataFrame:
+    """The offers that no known label of the box already covers."""
+    covering = known.select("box", F.col("founder").alias("_f"), F.col("since").alias("_s"))
+    covered = (F.col("_f") <= F.col("founder")) & (F.col("_s") <= F.col("since"))
+    return (
+        offered.join(covering, "box", "left")
+        .groupBy(*offered.columns)
+        .agg(F.bool_or(covered).alias("_covered"))
+        .filter(~F.coalesce("_covered", F.lit(False)))
+        .drop("_covered")
+    )
+
+
 def _improving(labels: DataFrame) -> DataFrame:
     """Per box, the labels whose founder is earlier than that of every label with less ``since``."""
     before = (
@@ -279,7 +306,7 @@ def consensus(grouped: DataFrame, params: Params = Params(ensemble=True)) -> Dat
     voters = F.concat_ws(",", *(F.when(F.col(f"_{m}") == 1, m) for m in sorted(MODELS)))
     founder_model = F.get(F.array(*(F.lit(m) for m in MODELS)), F.col("_founder") - 1)
     return (
-        grouped.groupBy(*frame, "class_id", "gid")
+        grouped.groupBy("frame_key", "gid", "class_id", *(c for c in frame if c != "frame_key"))
         .agg(
             *(truncated(F.avg(c)).alias(c) for c in schemas.BOX_COLUMNS),
             F.max("confidence").alias("confidence"),
@@ -304,7 +331,14 @@ def consensus(grouped: DataFrame, params: Params = Params(ensemble=True)) -> Dat
 
 
 def ensemble(
-    det: DataFrame, params: Params = Params(ensemble=True), limit: int | None = FOLD_ROWS
+    det: DataFrame,
+    params: Params = Params(ensemble=True),
+    limit: int | None = FOLD_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Chosen models' detections to consensus detections; ``gid`` gives their order."""
-    return consensus(vote_groups(model_subset(det, params.active_models), params, limit), params)
+    needed = [c for c in schemas.DETECTIONS.names if c in det.columns]
+    chosen = model_subset(det.select(*needed), params.active_models)
+    if sized_by is not None:
+        sized_by = model_subset(sized_by, params.active_models)
+    return consensus(vote_groups(chosen, params, limit, sized_by), params)

@@ -37,7 +37,7 @@ def curate(
     Every step is keyed by frame, so detections are shuffled once and no video is a hot key.
     """
     sampled = frame_sample(frames.select(*schemas.FRAME_COLUMNS), params)
-    found = frame_sample(detections, params)
+    found = sampled_detections = frame_sample(detections, params)
     if regions is not None and params.text_gate_active:
         texts = text_frames(frame_sample(regions, params), params)
         sampled = (
@@ -48,16 +48,22 @@ def curate(
             found = found.join(texts, "frame_key", "left_anti")
     else:
         sampled = sampled.withColumn("is_text", F.lit(False))
-    outcomes = _with_outcome(sampled, crop_subjects(found, params, group_limit), params)
-    return Curated(outcomes, outcomes.filter(F.col("outcome") == "saved").drop("outcome"))
+    subjects = crop_subjects(found, params, group_limit, sampled_detections)
+    outcomes = _with_outcome(sampled, subjects, params)
+    # the null check is implied, but lets Spark turn the outer join into an inner one
+    saved = F.col("crop_x").isNotNull() & (F.col("outcome") == "saved")
+    return Curated(outcomes, outcomes.filter(saved).drop("outcome"))
 
 
 def crop_subjects(
-    detections: DataFrame, params: Params = Params(), group_limit: int | None = FOLD_ROWS
+    detections: DataFrame,
+    params: Params = Params(),
+    group_limit: int | None = FOLD_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Primary subject of each frame with detections, its crop and the crop's quality."""
     if params.ensemble:
-        candidates = ensemble(detections, params, group_limit)
+        candidates = ensemble(detections, params, group_limit, sized_by)
     else:
         candidates = model_subset(detections, params.active_models)
     return crop_quality(crop_box(with_head_space(primary_subject(candidates)), params))
@@ -94,4 +100,4 @@ def two_pass(
     """Quick look with one model, then consensus of all models on the frames it saved."""
     chosen = curate(frames, detections, regions, replace(params, ensemble=False)).crops
     again = detections.join(chosen.select("frame_key"), "frame_key", "left_semi")
-    return ensemble(again, params, group_limit)
+    return ensemble(again, params, group_limit, detections)
