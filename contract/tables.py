@@ -15,7 +15,7 @@ from contract import toys
 from reelsift import schemas
 from reelsift.operators.detections import det_normalise
 from reelsift.operators.skew import number_within, split_large_groups
-from reelsift.session import scratch_path
+from reelsift.session import materialise
 from reelsift.sources.frames import frame_scan
 
 # (l_orderkey, l_linenumber) repeats in the given data, hence the long order.
@@ -45,11 +45,6 @@ class Tables:
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _written(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     @property
     def manifest(self) -> DataFrame:
         return self.given("customer").selectExpr(
@@ -69,7 +64,7 @@ class Tables:
     @cached_property
     def frames(self) -> DataFrame:
         numbered = frame_scan(self.positions(), F.col("frame_key"))
-        return self._written(numbered.select(*schemas.FRAME_COLUMNS), "frames")
+        return materialise(numbered.select(*schemas.FRAME_COLUMNS))
 
     @property
     def videos(self) -> DataFrame:
@@ -121,7 +116,7 @@ class Tables:
         )
         order = [F.col(c) for c in ("model_no", *LINE_ORDER)]
         numbered = number_within(boxes, ["frame_key"], order, "det_seq")
-        return self._written(numbered.select(*schemas.RAW.names), "raw")
+        return materialise(numbered.select(*schemas.RAW.names))
 
     @property
     def det(self) -> DataFrame:
@@ -138,7 +133,7 @@ class Tables:
             "int(10 + l_partkey % 400) AS rw",
             "int(4 + l_suppkey % 60) AS rh",
         )
-        return self._written(rects, "regions")
+        return materialise(rects)
 
     @property
     def ocr(self) -> DataFrame:
@@ -174,7 +169,7 @@ class Tables:
         rows = frames.join(arrays(self.det, "detections", "detections"), "frame_key", "left").join(
             arrays(self.regions, "regions", "regions"), "frame_key", "left"
         )
-        return self._written(rows.select(*schemas.NESTED.names), "nested"), oversized
+        return materialise(rows.select(*schemas.NESTED.names)), oversized
 
     def nested_stream(self) -> DataFrame:
         """The nested frames as a stream of files."""

@@ -54,8 +54,8 @@ def number_within(
 
     Ordinary groups take one window. A large group is range-partitioned by the full order, so it
     spreads over many tasks whatever its size; each slice numbers its own rows and adds the row
-    counts of the slices before it. The slice is fixed by a checkpoint, so that counts and rows
-    agree even when tasks are repeated.
+    counts of the slices before it. Slices are written down, so that counts and rows agree even when
+    tasks are repeated.
     """
     usual, large = split_large_groups(df, keys, limit)
     by_order = Window.partitionBy(*keys).orderBy(*order)

@@ -213,7 +213,10 @@ def _group_large(det: DataFrame, threshold: float) -> DataFrame:
     links = materialise(
         meeting.filter(match).select("box", "first", F.col("o_box").alias("to"), F.col("o_first").alias("to_first"))
     )
-    repeated = det.join(boxes.filter(F.col("copies") > 1).select(*_BOX, "box"), _BOX).select("box", "det_seq")
+    repeated = materialise(
+        det.join(broadcast_if_small(boxes.filter(F.col("copies") > 1).select(*_BOX, "box")), _BOX)
+        .select("box", "det_seq")
+    )
 
     follower = links.filter(F.col("first") < F.col("to_first")).select(F.col("to").alias("box"))
     known = boxes.join(follower, "box", "left_anti").select(
@@ -223,6 +226,7 @@ def _group_large(det: DataFrame, threshold: float) -> DataFrame:
         F.col("first").alias("reached"),
     )
     known = fresh = materialise(known)
+    rounds = 0
     while not fresh.isEmpty():
         offered = materialise(_news(_offers(fresh, links), known))
         at_first = offered.filter(F.col("since") < F.col("to_first"))
@@ -235,7 +239,10 @@ def _group_large(det: DataFrame, threshold: float) -> DataFrame:
         )
         fresh = at_first.withColumn("reached", F.col("to_first")).unionByName(later_copy)
         fresh = materialise(fresh.drop("to_first"))
-        known = materialise(_improving(known.unionByName(fresh)))
+        known, rounds = known.unionByName(fresh), rounds + 1
+        if rounds % 8 == 0:  # drops what newer labels cover, and ends the growth of the plan
+            known = materialise(_improving(known))
+    known = materialise(_improving(known))
 
     next_label = Window.partitionBy("box").orderBy("since")
     spans = (

@@ -1,4 +1,4 @@
-"""Where jobs keep the tables and checkpoints that cut their lineage."""
+"""Where jobs keep the tables that cut their lineage."""
 
 from __future__ import annotations
 
@@ -8,18 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _local[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -28,6 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors and ends the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder and read it back.
+
+    Ends the lineage and survives the loss of executors. Unlike a checkpoint it also sheds the
+    constraints Spark has inferred, which pile up over the rounds of an iterative job, and it lets
+    the planner see the true size.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -71,6 +71,20 @@ def test_all_detections_keeps_model_order(spark, limit):
     ]
 
 
+def test_steps_go_to_the_shared_folder(spark, monkeypatch):
+    from reelsift import session
+
+    step = session.materialise(spark.range(5))
+    folder = session.shared_dir(spark)
+    assert step.count() == 5
+    assert all(f"{folder.removeprefix('file:')}/" in f for f in step.inputFiles())
+    assert session.materialise(spark.range(0)).isEmpty()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://somewhere:7077")
+        with pytest.raises(RuntimeError):
+            session.shared_dir(spark)
+
+
 # --- detections --------------------------------------------------------------------------------
 
 
