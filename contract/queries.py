@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from contract import toys
 from contract.tables import Tables, tables
+from reelsift.functions.classes import CATEGORIES
 from reelsift.functions.geometry import Box, aspect_ratio, iou
 from reelsift.operators import crops, detections, images, stats, subjects, text, voting
-from reelsift.params import MODELS, Params
+from reelsift.params import Params
 from reelsift.plans.curate import crop_subjects, curate, two_pass
 from reelsift.session import scratch_path
 from reelsift.sources import crop_sink, frames, manifest
@@ -148,12 +149,12 @@ def det_categorise_nested(t: Tables) -> DataFrame:
     nested, oversized = t.nested
     split = detections.categorise_nested(nested).select(
         "frame_key",
-        *(F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(f"{c}s") for c in ("person", "animal", "object")),
+        *(F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(f"{c}s") for c in CATEGORIES),
     )
     if oversized is None:
         return split
     kind = detections.det_categorise(t.det.join(oversized, "frame_key", "left_semi"))
-    counts = (F.count_if(F.col("category") == c).alias(f"{c}s") for c in ("person", "animal", "object"))
+    counts = (F.count_if(F.col("category") == c).alias(f"{c}s") for c in CATEGORIES)
     large = oversized.join(kind.groupBy("frame_key").agg(*counts), "frame_key", "left").fillna(0)
     return split.unionByName(large)
 
@@ -290,7 +291,8 @@ def head_space(t: Tables) -> DataFrame:
 @query
 def aspect_ratio_(t: Tables) -> DataFrame:
     formats = t.frames.select(
-        "frame_key", F.get(F.array(*(F.lit(f) for f in FORMATS)), (F.col("frame_key") % 6).cast("int")).alias("format")
+        "frame_key",
+        F.get(F.array(*(F.lit(f) for f in FORMATS)), (F.col("frame_key") % 6).cast("int")).alias("format"),
     )
     return formats.select(
         "frame_key",

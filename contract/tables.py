@@ -96,8 +96,8 @@ class Tables:
             " + IF(l_linenumber % 3 = 2, 1, 0) AS label",
             "IF(frame_key % 7 = 0, 0, (frame_key * 37 + l_partkey % 2 * 400) % int(width / 2))"
             " + l_suppkey % 40 AS ax",
-            "IF(frame_key % 3 = 0, frame_key * 53 % 20, (frame_key * 53 + l_partkey % 2 * 200) % int(height / 2))"
-            " + l_partkey % 30 AS ay",
+            "IF(frame_key % 3 = 0, frame_key * 53 % 20,"
+            " (frame_key * 53 + l_partkey % 2 * 200) % int(height / 2)) + l_partkey % 30 AS ay",
             "IF(frame_key % 7 = 0, width - 60, 120 + frame_key * 7 % int(width / 4)) AS bw",
             "150 + frame_key * 11 % int(height / 4) AS bh",
             "l_linenumber % 3 AS model_no",

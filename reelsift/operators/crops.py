@@ -114,7 +114,8 @@ def crop_quality(crops: DataFrame) -> DataFrame:
     near_end = (c("crop_x") + c("crop_w") >= c("width") - 10) | (
         c("crop_y") + c("crop_h") >= c("height") - 10
     )
-    penalty = sum((F.when(edge, F.lit(0.1)).otherwise(F.lit(0.0)) for edge in (near_origin, near_end)), F.lit(0.0))
+    edges = [F.when(edge, F.lit(0.1)).otherwise(F.lit(0.0)) for edge in (near_origin, near_end)]
+    penalty = edges[0] + edges[1]
     score = F.lit(1.0) - F.abs(F.lit(0.45) - c("_coverage")) - c("_penalty")
     return (
         crops.withColumns({"_coverage": coverage, "_penalty": penalty})

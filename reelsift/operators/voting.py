@@ -47,7 +47,8 @@ def iou_pairs(
     usual, large = split_large_groups(slim, _GROUP, limit)
     pairs = _matching(usual.join(_renamed(usual), _GROUP), params.iou_threshold)
     if large is not None:
-        pairs = pairs.unionByName(_matching(_grid_join(large, params.iou_threshold), params.iou_threshold))
+        near = _grid_join(large, params.iou_threshold)
+        pairs = pairs.unionByName(_matching(near, params.iou_threshold))
     return pairs
 
 
@@ -176,7 +177,8 @@ def first_fit(members: Column, threshold: float, by_class: bool) -> Column:
 
 def _group_by_fold(det: DataFrame, threshold: float) -> DataFrame:
     # frame_key leads the keys: it decides nearly every comparison when the aggregate has to sort
-    keys = ["frame_key", "class_id", *(c for c in schemas.FRAME_COLUMNS if c in det.columns and c != "frame_key")]
+    frame = [c for c in schemas.FRAME_COLUMNS if c in det.columns and c != "frame_key"]
+    keys = [*_GROUP, *frame]
     member = F.struct("det_seq", *(c for c in det.columns if c not in (*keys, "det_seq")))
     return (
         det.repartition("frame_key")
@@ -211,7 +213,9 @@ def _group_large(det: DataFrame, threshold: float) -> DataFrame:
     meeting = _grid_join(shape, threshold).filter(F.col("box") != F.col("o_box"))
     match = iou(Box.named(), Box.named("o_")) >= F.lit(threshold)
     links = materialise(
-        meeting.filter(match).select("box", "first", F.col("o_box").alias("to"), F.col("o_first").alias("to_first"))
+        meeting.filter(match).select(
+            "box", "first", F.col("o_box").alias("to"), F.col("o_first").alias("to_first")
+        )
     )
     repeated = materialise(
         det.join(broadcast_if_small(boxes.filter(F.col("copies") > 1).select(*_BOX, "box")), _BOX)
