@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from contract import oracles, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 GIVEN = ("customer", "orders", "lineitem")
@@ -21,18 +21,18 @@ def duck():
 
 
 def test_same_keys():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(name, spark, duck):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = queries.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
     got = Counter(tuple(r) for r in df.select(columns).collect())
-    cursor = duck.execute(contract.oracle_sql()[name])
+    cursor = duck.execute(oracles.oracle_sql()[name])
     described = {d[0]: str(d[1]) for d in cursor.description}
     rows = cursor.fetchall()
     assert columns == sorted(described)
