@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsift.llm import decontaminate, line_dedup, mixing, quality, simhash
+from reelsift.llm import decontaminate, line_dedup, minhash, mixing, quality, simhash, warc
 from reelsift.llm.common import read
 
 _registry: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,15 @@ def remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+@query("op1_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = minhash.edited_likeness(read(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 @query("op2_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf_dir, "documents"))
@@ -81,6 +90,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+PAGES = """
+WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes,
+    sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT html, min(page_id) AS first FROM sized GROUP BY html),
+digits AS (
+  SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS INTEGER), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31)::INTEGER, 1), '' ORDER BY i) AS payload_digest
+  FROM sized, range(32) t(i) GROUP BY page_id)
+SELECT s.page_id, CAST(s.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+  CASE WHEN f.first < s.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first < s.page_id THEN f.first END AS refers_to
+FROM sized s JOIN firsts f ON s.html = f.html JOIN digits d ON s.page_id = d.page_id
+"""
+
+
+@query("op9_warc", PAGES)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
