@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsift.llm import decontaminate, line_dedup, minhash, mixing, quality, simhash, warc
+from reelsift.llm import chat, ctw, decontaminate, line_dedup, minhash, mixing, quality, simhash, warc
 from reelsift.llm.common import read
 
 _registry: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,12 +76,52 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+CHAT = r"""
+WITH given AS (
+  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown'
+      ELSE regexp_replace(trim(role), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') END AS role,
+    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS text,
+    CAST(floor(turn / 64) AS BIGINT) AS band FROM conversations),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, band ORDER BY turn NULLS LAST, role, text) - 1 AS pos FROM given),
+cuts AS (SELECT *, pos // 64 AS cut FROM placed),
+speakers AS (SELECT DISTINCT conv_id, band, cut, role AS speaker FROM cuts WHERE role <> 'system'),
+views AS (
+  SELECT s.speaker, c.*, CASE WHEN role = speaker THEN '1' ELSE '0' END AS own,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role
+      ELSE 'user name=' || role END || chr(10) AS head
+  FROM cuts c JOIN speakers s
+    ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.band IS NOT DISTINCT FROM s.band AND c.cut = s.cut),
+ends AS (
+  SELECT *, CAST(sum(length(head) + length(text) + 11) OVER (
+    PARTITION BY conv_id, band, cut, speaker ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM views)
+SELECT conv_id, coalesce(CAST(band AS VARCHAR), 'x') || '-' || CAST(cut AS VARCHAR) AS part, speaker,
+  count(*) AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text,
+  string_agg(own, '' ORDER BY pos) AS mask,
+  string_agg((stop - 11 - length(text)) || ':' || stop, ' ' ORDER BY pos) FILTER (WHERE own = '1') AS spans
+FROM ends GROUP BY conv_id, band, cut, speaker
+"""
+
+
+@query("op4_chat_rotation", CHAT)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chat.rotations(read(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), " ")
+    return done.withColumn("spans", spans)
+
+
 @query("op6_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontaminate.decontaminate(docs, benchmark).select("doc_id", "items", "cover", "contaminated")
 
 
+@query("op7_ctw")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = ctw.score(read(spark, sf_dir, "documents"), remainder(5) != 1)
+    return done.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
 @query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
