@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from reelsift.llm.common import packed, ship
 from reelsift.session import materialise
 
-DEPTH = 4  # bytes of context
+DEPTH = 5  # bytes of context
 EDGE = 0xFF  # stands before and, once, after a text; no byte of UTF-8
 BUFFER = 1 << 23  # bytes or words whose counts a task combines
 FREQUENT = 1 << 16  # words whose counts every task may hold
@@ -94,26 +94,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([coded.field("values").cast(pa.string()), coded.field("counts")], ["word", "n"])
 
 
-def _log_gamma_half(n: Column) -> Column:
-    """log gamma(n + 1/2), by recurrence up to 8 and Stirling's series."""
-    x = n + 8.5
-    series = (x - 0.5) * F.log(x) - x + 0.5 * float(np.log(2 * np.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    down = reduce(lambda a, i: a * (n + 0.5 + i), range(1, 8), n + 0.5)
-    return series - F.log(down)
-
-
-def _log_gamma_one(n: Column) -> Column:
-    """log gamma(n + 1)."""
-    x = n + 9.0
-    series = (x - 0.5) * F.log(x) - x + 0.5 * float(np.log(2 * np.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    down = reduce(lambda a, i: a * (n + 1.0 + i), range(1, 8), n + 1.0)
-    return series - F.log(down)
+def _log_gamma(x: Column) -> Column:
+    """log gamma of x > 0: Stirling's series at x + 8, and the recurrence back."""
+    y = x + 8.0
+    series = (y - 0.5) * F.log(y) - y + 0.5 * float(np.log(2 * np.pi))
+    series = series + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
+    return series - F.log(reduce(lambda a, i: a * (x + i), range(1, 8), x))
 
 
 def log_kt(zeros: Column, ones: Column) -> Column:
     """log of the Krichevsky-Trofimov probability of a sequence with these counts."""
     a, b = zeros.cast("double"), ones.cast("double")
-    both = _log_gamma_half(a) + _log_gamma_half(b) - float(np.log(np.pi)) - _log_gamma_one(a + b)
+    both = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - float(np.log(np.pi)) - _log_gamma(a + b + 1.0)
     return F.when(a + b == 0, F.lit(0.0)).otherwise(both)
 
 

@@ -263,12 +263,14 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
         read_archives(spark, path).select(
             page("record_id").alias("page_id"), "record_type", page("refers_to").alias("refers_to"),
             "payload_bytes", sha1_base32(F.col("payload")).alias("payload_digest"),
+            F.regexp_replace("payload_digest", "^sha1:", "").alias("stated"),
         )
     )
     response = found.filter("record_type = 'response'").select(
         F.col("page_id").alias("_of"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")
     ).distinct()
-    full = found.join(response, F.col("refers_to") == F.col("_of"), "left")
+    same = (F.col("refers_to") == F.col("_of")) & (F.col("stated") == F.col("_digest"))
+    full = found.join(response, same, "left")
     revisit = F.col("record_type") == "revisit"
     return full.select(
         "page_id",

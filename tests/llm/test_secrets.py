@@ -1,0 +1,54 @@
+import random
+import re
+
+from helpers import AWKWARD, docs, sentences, words_of
+from pyspark.sql import functions as F
+
+from reelsift.llm import secrets
+
+
+def corpus(spark, n=600):
+    draw = random.Random(1)
+    texts = []
+    for k, t in enumerate(sentences(n, size=30)):
+        w = t.split()
+        if k % 3 == 0:
+            w.insert(len(w) // 2, f'token = "{draw.getrandbits(160):040x}"')
+        elif k % 3 == 1:
+            w.insert(len(w) // 2, draw.choice(["/usr/share/long/path/of/words/file.txt", "antidisestablishmentarianism", "a" * 30, f"commit {draw.getrandbits(160):040x}"]))
+        texts.append(" ".join(w))
+    return docs(spark, texts)
+
+
+def test_candidates_against_brute_force(spark):
+    texts = [*sentences(50, size=20), *AWKWARD, "key=abcdefghijklmnop123== x,ABCDEFGHIJKLMNOP/-_+;qrstuvwxyzqrstuvwxyz", *AWKWARD[:5]]
+    got = secrets.candidates(docs(spark, texts)).collect()
+    want = [
+        (i, at, part, c)
+        for i, t in enumerate(texts)
+        for at, w in enumerate(words_of(t))
+        for part, c in enumerate(re.findall(r"[A-Za-z0-9_+/-]{16,}={0,2}", w))
+    ]
+    assert sorted((r["doc_id"], r["at"], r["part"], r["candidate"]) for r in got) == sorted(want)
+
+
+def test_removes_false_positives_on_held_out_findings(spark):
+    df = corpus(spark)
+    known = secrets.labelled(secrets.candidates(df))
+    model = secrets.fit(df, known.filter("doc_id % 4 <> 2"))
+    rows = secrets.scan(known.filter("doc_id % 4 = 2"), model).collect()
+    assert {r["label"] for r in rows} == {0, 1}
+    assert sum(r["is_secret"] == bool(r["label"]) for r in rows) > 0.97 * len(rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_edges(spark):
+    df = corpus(spark, 60)
+    known = secrets.labelled(secrets.candidates(df))
+    for few in (known.limit(0), known.filter("label = 0"), known.withColumn("label", F.lit(None).cast("int"))):
+        assert secrets.scan(known, secrets.fit(df, few)).filter("is_secret").count() == known.count()
+    model = secrets.fit(df, known)
+    assert secrets.scan(secrets.candidates(docs(spark, [])), model).count() == 0
+    clash = docs(spark, AWKWARD + AWKWARD).withColumns({"at": F.lit(1), "x": F.lit(2), "features": F.lit(3), "word": F.lit(4)})
+    rows = secrets.scan(secrets.candidates(clash), model).collect()
+    assert len(rows) == 2 and not any(r["is_secret"] for r in rows)
