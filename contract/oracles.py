@@ -299,13 +299,13 @@ def oracle_sql() -> dict[str, str]:
         "model_subset": _with("SELECT * EXCLUDE (category) FROM det WHERE model_source <> 'detr'", *det),
         "all_detections": _with(
             """SELECT frame_key, CAST(row_number() OVER (PARTITION BY frame_key ORDER BY
-                   CASE model_source WHEN 'yolo' THEN 0 ELSE 1 END, det_seq) AS INT) AS det_seq,
-                 model_source, x1, y1, confidence FROM det WHERE model_source <> 'detr'""",
+                   CASE model_source WHEN 'yolo' THEN 0 WHEN 'detr' THEN 1 ELSE 2 END, det_seq) AS INT) AS det_seq,
+                 model_source, x1, y1, confidence FROM det""",
             *det,
         ),
         "detection_stats": _with(
             """SELECT count(DISTINCT model_source) AS total_models,
-                 string_agg(DISTINCT model_source, ',' ORDER BY model_source) AS loaded_models,
+                 string_agg(DISTINCT model_source, ',' ORDER BY model_source) AS loaded_models, '' AS silent_models,
                  2 AS voting_threshold FROM det""",
             *det,
         ),
@@ -415,9 +415,12 @@ def oracle_sql() -> dict[str, str]:
         "video_stats_standard": _with(stats_of, *ALL_RUN, PLAIN_COUNTS),
         "overall_stats": _with(
             f"""SELECT video_id, 'clip_' || CAST(video_id AS STRING) || '.mp4' AS video_name,
-                  CAST(1 AS BIGINT) AS processed_videos, {COUNTERS} FROM stats
-                UNION ALL SELECT NULL, NULL, count(*), {totals} FROM stats""",
+                  CAST(1 AS BIGINT) AS total_videos, CAST(1 AS BIGINT) AS processed_videos, {COUNTERS}, round(d, 6) AS total_time
+                FROM timed
+                UNION ALL SELECT NULL, NULL, (SELECT count(*) FROM videos), count(*), {totals}, round(sum(d), 6) FROM timed""",
             *ONE_RUN, TURBO_COUNTS,
+            """timed AS (SELECT s.*, CASE WHEN fps > 0 THEN total_frames / fps ELSE 0e0 END AS d
+                 FROM stats s JOIN videos v ON s.video_id = v.video_id WHERE s.video_id < 35)""",
         ),
         "processing_fps": _with(
             """SELECT video_id, processed_frames, d AS processing_time,

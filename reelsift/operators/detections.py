@@ -60,7 +60,7 @@ def class_map(det: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     if mapping is None:
         return det_categorise(det)
     table = broadcast_if_small(mapping.select("class_id", "category").dropDuplicates(["class_id"]))
-    return det.join(table, "class_id", "left").fillna("object", ["category"])
+    return det.drop("category").join(table, "class_id", "left").fillna("object", ["category"])
 
 
 def all_detections(
@@ -81,10 +81,12 @@ def all_detections(
 
 
 def detection_stats(det: DataFrame, params: Params = Params(ensemble=True)) -> DataFrame:
-    """Which models contributed, and the votes a consensus needs."""
-    used = model_subset(det, params.active_models).groupBy("model_source").agg(F.lit(1).alias("_"))
-    return used.agg(
-        F.count(F.lit(1)).alias("total_models"),
-        F.array_join(F.array_sort(F.collect_list("model_source")), ",").alias("loaded_models"),
+    """Which models are loaded, which of these found nothing, and the votes a consensus needs."""
+    models = sorted(params.active_models)
+    nothing = [F.when(F.count_if(F.col("model_source") == m) == 0, m) for m in models]
+    return det.agg(
+        F.lit(len(models)).cast("bigint").alias("total_models"),
+        F.lit(",".join(models)).alias("loaded_models"),
+        F.concat_ws(",", *nothing).alias("silent_models"),
         F.lit(params.effective_threshold).alias("voting_threshold"),
     )

@@ -7,10 +7,12 @@ and ``maxBytesPerBatch``). Filter and select before these jobs: Catalyst moves n
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +33,12 @@ def infer_detections(
 ) -> DataFrame:
     """Raw detections of one model on a pixel table.
 
-    ``make_model`` is called once per Python worker. Results are tuples
-    ``(label, score, x1, y1, x2, y2)``, in the model's order, which becomes ``det_seq``.
+    ``make_model`` is called once per Python worker, again where its code or settings differ. Results
+    are tuples ``(label, score, x1, y1, x2, y2)``, in the model's order, which becomes ``det_seq``. A model
+    that gives no list for one of its frames fails the job.
     """
     found = _job(
-        frames, f"detect:{name}", make_model, params,
+        frames, make_model, params,
         "label INT, score DOUBLE, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE",
     )
     return found.withColumn("model_source", F.lit(name)).select(*schemas.RAW.names)
@@ -60,15 +63,16 @@ def extract_regions(
         F.substring("image.data", skipped + 1, rows * line_bytes).alias("data"),
     )
     found = _job(
-        frames.withColumn("image", strip), f"regions:{name}", make_model, params,
+        frames.withColumn("image", strip), make_model, params,
         "rx INT, ry INT, rw INT, rh INT",
     )
     return found.withColumnRenamed("det_seq", "line_no").select(*schemas.REGIONS.names)
 
 
 def _job(
-    frames: DataFrame, key: str, make_model: Callable[[], Model], params: Params, result: str
+    frames: DataFrame, make_model: Callable[[], Model], params: Params, result: str
 ) -> DataFrame:
+    key = hashlib.sha256(cloudpickle.dumps((make_model, result))).hexdigest()
     frame = frames.select(*schemas.FRAME_COLUMNS).schema
     fields = T.StructType.fromDDL(result).fields
     output = T.StructType([*frame.fields, T.StructField("det_seq", T.IntegerType()), *fields])
@@ -83,7 +87,7 @@ def _job(
             rows = []
             for start in range(0, len(keys), size):
                 part = slice(start, start + size)
-                for frame_key, results in zip(keys[part], model(arrays[part])):
+                for frame_key, results in zip(keys[part], model(arrays[part]), strict=True):
                     rows.extend((*frame_key, i, *r) for i, r in enumerate(results, 1))
             yield pd.DataFrame(rows, columns=output.names)
 

@@ -56,16 +56,25 @@ def video_stats(
 
 
 def overall_stats(stats: DataFrame, videos: DataFrame) -> DataFrame:
-    """One row per video and one total, whose ``video_id`` and ``video_name`` are null."""
-    named = stats.join(videos.select("video_id", base_name(F.col("path")).alias("_name")), "video_id")
-    is_total = F.grouping("video_id") == 1
+    """One row per video of ``stats`` and one total, whose ``video_id`` and ``video_name`` are null.
+
+    ``total_videos`` counts the rows of ``videos``, ``processed_videos`` those of ``stats``, which are fewer
+    after a run that was stopped. ``total_time`` adds up ``processing_time`` where ``stats`` has it.
+    """
+    named = videos.select("video_id", base_name(F.col("path")).alias("_name")).join(
+        stats.withColumn("_done", F.lit(1)), "video_id", "left"
+    )
+    is_total, timed = F.grouping("video_id") == 1, "processing_time" in stats.columns
     return (
         named.rollup("video_id")
         .agg(
             F.when(~is_total, F.max("_name")).alias("video_name"),
-            F.count(F.lit(1)).alias("processed_videos"),
-            *(F.sum(c).alias(c) for c in COUNTERS),
+            F.count(F.lit(1)).alias("total_videos"),
+            F.count("_done").alias("processed_videos"),
+            *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS),
+            *([F.sum("processing_time").alias("total_time")] if timed else []),
         )
+        .filter("video_name IS NULL OR processed_videos > 0")
     )
 
 

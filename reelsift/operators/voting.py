@@ -302,12 +302,16 @@ def _improving(labels: DataFrame) -> DataFrame:
 # --- consensus -------------------------------------------------------------------------------
 
 
-def consensus(grouped: DataFrame, params: Params = Params(ensemble=True)) -> DataFrame:
+def consensus(
+    grouped: DataFrame, params: Params = Params(ensemble=True), names: bool = True
+) -> DataFrame:
     """Merge each group with enough distinct models into one detection.
 
-    Truncated mean box, highest confidence, the founder's class. Models are counted by flags, one
-    per known model, so the aggregate is a plain hash aggregate of fixed-width buffers.
+    Truncated mean box, highest confidence, the founder's class and, where ``grouped`` has names, the
+    founder's ``class_name``. Models are counted by flags, one per known model, so without ``names`` the
+    aggregate is a plain hash aggregate of fixed-width buffers, and names come from the known lists.
     """
+    own_names = names and "class_name" in grouped.columns
     model = F.col("model_source")
     flags = [F.max(F.when(model == m, 1).otherwise(0)).alias(f"_{m}") for m in MODELS]
     founder = F.col("det_seq") == F.col("gid")
@@ -324,6 +328,7 @@ def consensus(grouped: DataFrame, params: Params = Params(ensemble=True)) -> Dat
             F.max(F.when(founder, rank)).alias("_founder"),
             F.count(F.lit(1)).alias("members"),
             *flags,
+            *([F.max(F.when(founder, F.col("class_name"))).alias("_name")] if own_names else []),
         )
         .withColumn("votes", votes)
         .filter(F.col("votes") >= F.lit(params.effective_threshold))
@@ -333,7 +338,7 @@ def consensus(grouped: DataFrame, params: Params = Params(ensemble=True)) -> Dat
             *schemas.BOX_COLUMNS,
             "confidence",
             "class_id",
-            classes.class_name(founder_model, F.col("class_id")).alias("class_name"),
+            (F.col("_name") if own_names else classes.class_name(founder_model, F.col("class_id"))).alias("class_name"),
             F.concat(F.lit("ensemble("), voters, F.lit(")")).alias("model_source"),
             "votes",
             "members",
@@ -346,10 +351,12 @@ def ensemble(
     params: Params = Params(ensemble=True),
     limit: int | None = FOLD_ROWS,
     sized_by: DataFrame | None = None,
+    names: bool = True,
 ) -> DataFrame:
     """Chosen models' detections to consensus detections; ``gid`` gives their order."""
-    needed = [c for c in schemas.DETECTIONS.names if c in det.columns]
+    wanted = [*schemas.DETECTIONS.names, *(["class_name"] if names else [])]
+    needed = [c for c in wanted if c in det.columns]
     chosen = model_subset(det.select(*needed), params.active_models)
     if sized_by is not None:
         sized_by = model_subset(sized_by, params.active_models)
-    return consensus(vote_groups(chosen, params, limit, sized_by), params)
+    return consensus(vote_groups(chosen, params, limit, sized_by), params, names)

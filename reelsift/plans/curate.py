@@ -63,7 +63,7 @@ def crop_subjects(
 ) -> DataFrame:
     """Primary subject of each frame with detections, its crop and the crop's quality."""
     if params.ensemble:
-        candidates = ensemble(detections, params, group_limit, sized_by)
+        candidates = ensemble(detections, params, group_limit, sized_by, names=False)
     else:
         candidates = model_subset(detections, params.active_models)
     return crop_quality(crop_box(with_head_space(primary_subject(candidates)), params))
@@ -99,5 +99,5 @@ def two_pass(
 ) -> DataFrame:
     """Quick look with one model, then consensus of all models on the frames it saved."""
     chosen = curate(frames, detections, regions, replace(params, ensemble=False)).crops
-    again = detections.join(chosen.select("frame_key"), "frame_key", "left_semi")
-    return ensemble(again, params, group_limit, detections)
+    found = frame_sample(detections, params)
+    return ensemble(found.join(chosen.select("frame_key"), "frame_key", "left_semi"), params, group_limit, found)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelsift.functions import naming
 from reelsift.operators.crops import CROP_COLUMNS
+from reelsift.operators.skew import broadcast_if_small
 from reelsift.params import Params
 
 
@@ -20,7 +21,7 @@ def crop_filename(crops: DataFrame) -> DataFrame:
 
 def crop_manifest(crops: DataFrame, videos: DataFrame, params: Params = Params()) -> DataFrame:
     """Where each accepted crop goes. ``video_id`` tells apart videos that share a file stem."""
-    runs = output_run_name(videos.select("video_id", "path"), params)
+    runs = broadcast_if_small(output_run_name(videos.select("video_id", "path"), params))
     return (
         crop_filename(crops)
         .join(runs, "video_id")
@@ -37,7 +38,7 @@ def crop_manifest(crops: DataFrame, videos: DataFrame, params: Params = Params()
 
 
 def write_crops(manifest: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write by run and category.
+    """Write by run and category; ``overwrite`` replaces the runs written and leaves other runs alone.
 
     The rebalance hint gathers the rows of a folder in few files and lets adaptive execution split
     a folder that is too large, so one long video does not end up in one task.
@@ -45,6 +46,7 @@ def write_crops(manifest: DataFrame, path: str, mode: str = "overwrite") -> None
     (
         manifest.hint("rebalance", F.col("run_name"), F.col("category_dir"))
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_name", "category_dir")
         .parquet(path)
     )

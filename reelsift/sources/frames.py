@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsift import schemas
-from reelsift.operators.skew import WINDOW_ROWS, number_within
+from reelsift.operators.skew import WINDOW_ROWS, broadcast_if_small, number_within
 from reelsift.params import Params
 
 
@@ -58,10 +58,13 @@ def frame_sample(rows: DataFrame, params: Params = Params()) -> DataFrame:
 def frame_lookup(frames: DataFrame, requests: DataFrame) -> DataFrame:
     """Frames by 0-based ``frame_index``; the frame's columns are null where there is none.
 
-    ``requests`` has ``video_id, frame_index``; index k is the frame numbered k + 1.
+    ``requests`` has ``video_id, frame_index``; index k is the frame numbered k + 1. Few requests go to
+    the frames, so these stay in place; only the frames found meet the requests again.
     """
+    key = ["video_id", "frame_no"]
     wanted = requests.withColumn("frame_no", F.col("frame_index") + 1)
-    return wanted.join(frames, ["video_id", "frame_no"], "left")
+    found = frames.join(broadcast_if_small(wanted.select(*key).distinct()), key, "left_semi")
+    return wanted.join(found, key, "left")
 
 
 def frame_at(frames: DataFrame, video_id: int, frame_index: int) -> DataFrame:
@@ -75,6 +78,6 @@ def progress_pct(frames: DataFrame, videos: DataFrame, params: Params = Params()
     total = F.col("total_frames")
     return (
         reported.select("video_id", "frame_no")
-        .join(videos.select("video_id", "total_frames"), "video_id")
+        .join(broadcast_if_small(videos.select("video_id", "total_frames")), "video_id")
         .withColumn("progress", F.when(total > 0, F.col("frame_no") / total * F.lit(100.0)))
     )

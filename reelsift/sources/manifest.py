@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,16 +20,18 @@ def video_manifest(paths: DataFrame, dedupe: bool = True) -> DataFrame:
 def list_videos(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     """Manifest of the files matching paths or globs; a pattern without match adds nothing.
 
-    Only names and sizes are read: the content column is pruned from the scan.
+    Patterns that match are one scan. Only names and sizes are read: the content column is pruned.
     """
-    found = [spark.createDataFrame([], "path STRING, length BIGINT")]
+    present = []
     for pattern in patterns:
         try:
-            files = spark.read.format("binaryFile").load(pattern)
+            spark.read.format("binaryFile").load(pattern)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
         else:
-            found.append(files.select("path", "length"))
-    files = reduce(DataFrame.unionByName, found)
+            present.append(pattern)
+    if not present:
+        return spark.createDataFrame([], "path STRING, length BIGINT")
+    files = spark.read.format("binaryFile").load(present).select("path", "length")
     return files.filter(is_video(F.col("path"))).dropDuplicates(["path"])

@@ -111,3 +111,26 @@ def test_bucketed_pixels_are_not_shuffled(spark, frames):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE pixels_test")
+
+
+def constant(label, short=False):
+    def make():
+        def model(batch):
+            found = [[(label, 0.9, 1.0, 1.0, 9.0, 9.0)] for _ in batch]
+            return found[1:] if short else found
+
+        return model
+
+    return make
+
+
+def test_models_of_one_name_do_not_mix(frames):
+    """Workers are reused, but never with the model of another factory."""
+    for label in (1, 2, 3, 4):
+        found = images.infer_detections(frames.coalesce(1), "yolo", constant(label))
+        assert {r.label for r in found.collect()} == {label}
+
+
+def test_a_model_that_leaves_out_frames_fails(frames):
+    with pytest.raises(Exception, match="shorter"):
+        images.infer_detections(frames, "yolo", constant(1, short=True)).collect()

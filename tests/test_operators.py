@@ -7,7 +7,7 @@ from samples import crowd, det
 from reelsift import schemas
 from reelsift.functions import naming
 from reelsift.functions.geometry import half
-from reelsift.operators import crops, detections, skew, stats, subjects, text
+from reelsift.operators import crops, detections, skew, stats, subjects, text, voting
 from reelsift.params import Params
 from reelsift.plans.curate import curate
 from reelsift.sources import crop_sink, frames, manifest
@@ -351,7 +351,11 @@ def test_statistics(spark, turbo, processed):
     }
     assert all(v == 0 for k, v in rows[2].items() if k != "video_id")
     total = stats.overall_stats(per_video, videos).filter("video_id IS NULL").first()
-    assert (total.processed_videos, total.saved_frames, total.video_name) == (2, 2, None)
+    assert (total.total_videos, total.processed_videos, total.saved_frames, total.video_name) == (2, 2, 2, None)
+    stopped = per_video.filter("video_id = 1").withColumn("processing_time", F.lit(1.5))
+    rows = {r.video_id: r for r in stats.overall_stats(stopped, videos).collect()}
+    assert set(rows) == {1, None} and rows[None].total_time == 1.5
+    assert (rows[None].total_videos, rows[None].processed_videos) == (2, 1)
 
 
 def test_interval(spark):
@@ -364,7 +368,35 @@ def test_write_crops(spark, tmp_path):
     done, videos = run(spark, params)
     path = f"{tmp_path}/crops"
     crop_sink.write_crops(crop_sink.crop_manifest(done.crops, videos, params), path)
+    other = crop_sink.crop_manifest(done.crops, videos, Params(interval=1, padding=50, crop_format="1:1"))
+    crop_sink.write_crops(other, path)  # a second run leaves the first one alone
     back = spark.read.parquet(path)
+    assert back.select("run_name").distinct().count() == 2
+    back = back.filter(F.col("run_name") == "a_9x16_yolo_turbo")
     assert {(r.run_name, r.category_dir, r.frame_no) for r in back.collect()} == {
         ("a_9x16_yolo_turbo", "persons", 1), ("a_9x16_yolo_turbo", "animals", 4),
     }
+
+
+
+def test_silent_models(spark):
+    one = det(spark, [(0, 1, 1, 9, 9), (0, 1, 1, 9, 9, "fasterrcnn")])
+    row = detections.detection_stats(one).first()
+    assert (row.total_models, row.loaded_models) == (3, "detr,fasterrcnn,yolo")
+    assert (row.silent_models, row.voting_threshold) == ("detr", 2)
+    none = detections.detection_stats(one.limit(0)).first()
+    assert none.silent_models == none.loaded_models
+
+
+def test_consensus_keeps_the_founders_name(spark):
+    two = det(spark, [(0, 1, 1, 99, 99), (0, 1, 1, 99, 98, "detr")])
+    named = two.withColumn("class_name", F.concat(F.lit("own "), "model_source"))
+    assert [r.class_name for r in voting.ensemble(named).collect()] == ["own yolo"]
+    assert [r.class_name for r in voting.ensemble(two).collect()] == ["person"]
+
+
+def test_class_map_replaces_a_category(spark):
+    one = detections.det_categorise(det(spark, [(0, 1, 1, 9, 9), (7, 1, 1, 9, 9)]))
+    mapped = detections.class_map(one, spark.createDataFrame([(0, "animal")], "class_id int, category string"))
+    assert mapped.columns.count("category") == 1
+    assert sorted(r.category for r in mapped.collect()) == ["animal", "object"]
