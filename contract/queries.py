@@ -146,17 +146,10 @@ def det_categorise(t: Tables) -> DataFrame:
 
 @query
 def det_categorise_nested(t: Tables) -> DataFrame:
-    nested, oversized = t.nested
-    split = detections.categorise_nested(nested).select(
+    return detections.categorise_nested(t.nested).select(
         "frame_key",
         *(F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(f"{c}s") for c in CATEGORIES),
     )
-    if oversized is None:
-        return split
-    kind = detections.det_categorise(t.det.join(oversized, "frame_key", "left_semi"))
-    counts = (F.count_if(F.col("category") == c).alias(f"{c}s") for c in CATEGORIES)
-    large = oversized.join(kind.groupBy("frame_key").agg(*counts), "frame_key", "left").fillna(0)
-    return split.unionByName(large)
 
 
 @query
@@ -226,18 +219,18 @@ def iou_pairs(t: Tables) -> DataFrame:
 
 @query
 def vote_groups(t: Tables) -> DataFrame:
-    return voting.vote_groups(t.det).select(*KEY, "class_id", "model_source", "gid")
+    return voting.vote_groups(t.det, limit=t.group_limit).select(*KEY, "class_id", "model_source", "gid")
 
 
 @query
 def consensus(t: Tables) -> DataFrame:
-    return voting.ensemble(t.det, ALL)
+    return voting.ensemble(t.det, ALL, t.group_limit)
 
 
 @query
 def effective_threshold(t: Tables) -> DataFrame:
     """Three votes asked of two models: two are enough."""
-    return voting.ensemble(t.det, PAIR)
+    return voting.ensemble(t.det, PAIR, t.group_limit)
 
 
 # --- subjects ----------------------------------------------------------------------------------
@@ -255,7 +248,7 @@ def primary_subject(t: Tables) -> DataFrame:
 
 @query
 def primary_subject_ensemble(t: Tables) -> DataFrame:
-    return subjects.primary_subject(voting.ensemble(t.det, ALL)).drop("class_name")
+    return subjects.primary_subject(voting.ensemble(t.det, ALL, t.group_limit)).drop("class_name")
 
 
 @query
@@ -343,18 +336,18 @@ def curate_single(t: Tables) -> DataFrame:
 
 @query
 def curate_ensemble(t: Tables) -> DataFrame:
-    return curate(t.frames, t.det, t.regions, ALL).crops.select(CROPS)
+    return curate(t.frames, t.det, t.regions, ALL, t.group_limit).crops.select(CROPS)
 
 
 @query
 def frame_outcomes(t: Tables) -> DataFrame:
     every = replace(ALL, crop_format="4:5", padding=100)
-    return curate(t.frames, t.det, t.regions, every).outcomes.select("video_id", "frame_no", "outcome")
+    return curate(t.frames, t.det, t.regions, every, t.group_limit).outcomes.select("video_id", "frame_no", "outcome")
 
 
 @query
 def two_pass_(t: Tables) -> DataFrame:
-    return two_pass(t.frames, t.det, t.regions, ALL)
+    return two_pass(t.frames, t.det, t.regions, ALL, t.group_limit)
 
 
 @query
@@ -365,7 +358,7 @@ def video_stats(t: Tables) -> DataFrame:
 @query
 def video_stats_standard(t: Tables) -> DataFrame:
     plain = replace(ALL, turbo=False)
-    return stats.video_stats(curate(t.frames, t.det, t.regions, plain).outcomes, t.videos, plain)
+    return stats.video_stats(curate(t.frames, t.det, t.regions, plain, t.group_limit).outcomes, t.videos, plain)
 
 
 @query
@@ -430,12 +423,7 @@ def stream_harvest(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "stream-crops")
     checkpoint = scratch_path(t.spark, "stream-crops-state")
     curate_stream.stream_crops(t.nested_stream(), path, checkpoint, ALL).awaitTermination()
-    streamed = t.spark.read.parquet(path).select(CROPS)
-    oversized = t.nested[1]
-    if oversized is None:
-        return streamed
-    large = (df.join(oversized, "frame_key", "left_semi") for df in (t.frames, t.det, t.regions))
-    return streamed.unionByName(curate(*large, ALL).crops.select(CROPS))
+    return t.spark.read.parquet(path).select(CROPS)
 
 
 @query
@@ -443,14 +431,4 @@ def stream_stats(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "stream-stats")
     checkpoint = scratch_path(t.spark, "stream-stats-state")
     curate_stream.stream_stats(t.nested_stream(), path, checkpoint, ONE).awaitTermination()
-    streamed = curate_stream.read_stats(t.spark.read.parquet(path))
-    oversized = t.nested[1]
-    if oversized is None:
-        return streamed
-    large = (df.join(oversized, "frame_key", "left_semi") for df in (t.frames, t.det, t.regions))
-    rest = stats.count_outcomes(curate(*large, ONE).outcomes, ONE)
-    return (
-        streamed.unionByName(rest)
-        .groupBy("video_id")
-        .agg(*(F.sum(c).alias(c) for c in stats.COUNTERS))
-    )
+    return curate_stream.read_stats(t.spark.read.parquet(path))

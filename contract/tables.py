@@ -6,16 +6,17 @@ once per application and folder, into the shared folder, so that queries scan Pa
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract import toys
 from reelsift import schemas
+from reelsift.operators import voting
 from reelsift.operators.detections import det_normalise
-from reelsift.operators.skew import number_within, split_large_groups
-from reelsift.session import materialise
+from reelsift.operators.skew import number_within
+from reelsift.session import materialise, scratch_path
 from reelsift.sources.frames import frame_scan
 
 # (l_orderkey, l_linenumber) repeats in the given data, hence the long order.
@@ -32,8 +33,6 @@ LINE_ORDER = (
     "l_linestatus",
 )
 
-NESTED_ROWS = 4096  # detections or regions of one frame that may form one row
-
 _open: dict[tuple[str, str], Tables] = {}
 
 
@@ -144,37 +143,32 @@ class Tables:
         return self.regions.selectExpr(*schemas.FRAME_COLUMNS, f"array({points}) AS poly")
 
     @cached_property
-    def nested(self) -> tuple[DataFrame, DataFrame | None]:
-        """Frames with their detections and regions as arrays, and the keys of frames that have
-        too many of either to be one row; these stay in long form.
-        """
-        large = [
-            part.select("frame_key").distinct()
-            for _, part in (
-                split_large_groups(df, ["frame_key"], NESTED_ROWS) for df in (self.det, self.regions)
-            )
-            if part is not None
-        ]
-        oversized = reduce(DataFrame.union, large).distinct() if large else None
+    def nested_path(self) -> str:
+        """Where frames lie with their detections and regions as arrays, whatever their number."""
 
         def arrays(df: DataFrame, field: str, name: str) -> DataFrame:
-            if oversized is not None:
-                df = df.join(oversized, "frame_key", "left_anti")
             members = [f.name for f in schemas.NESTED[field].dataType.elementType.fields]
             return df.groupBy("frame_key").agg(F.collect_list(F.struct(*members)).alias(name))
 
-        frames = self.frames
-        if oversized is not None:
-            frames = frames.join(oversized, "frame_key", "left_anti")
-        rows = frames.join(arrays(self.det, "detections", "detections"), "frame_key", "left").join(
+        rows = self.frames.join(arrays(self.det, "detections", "detections"), "frame_key", "left").join(
             arrays(self.regions, "regions", "regions"), "frame_key", "left"
         )
-        return materialise(rows.select(*schemas.NESTED.names)), oversized
+        path = scratch_path(self.spark, "nested")
+        rows.select(*schemas.NESTED.names).write.parquet(path)
+        return path
+
+    @property
+    def nested(self) -> DataFrame:
+        return self.spark.read.schema(schemas.NESTED).parquet(self.nested_path)
 
     def nested_stream(self) -> DataFrame:
         """The nested frames as a stream of files."""
-        path = self.nested[0].inputFiles()[0].rsplit("/", 1)[0]
-        return self.spark.readStream.schema(schemas.NESTED).parquet(path)
+        return self.spark.readStream.schema(schemas.NESTED).parquet(self.nested_path)
+
+    @cached_property
+    def group_limit(self) -> int | None:
+        """Counted once for the detections, as whoever writes them would."""
+        return voting.group_limit(self.det)
 
     @property
     def pixels(self) -> DataFrame:

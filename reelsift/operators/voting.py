@@ -10,22 +10,27 @@ this is not connected components. As groups are scanned in the order of their fo
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from functools import reduce
 from operator import add
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelsift import schemas
 from reelsift.functions import classes
 from reelsift.functions.geometry import Box, iou, truncated
 from reelsift.operators.detections import model_subset
+from reelsift.operators.graph import components
 from reelsift.operators.skew import broadcast_if_small, split_large_groups
 from reelsift.params import MODELS, Params
 from reelsift.session import materialise
 
 FOLD_ROWS = 512  # detections of one frame and class that are folded within a row
 PAIR_ROWS = 1024  # ... that are compared without a spatial grid
+COMPONENT_ROWS = 1_000_000  # detections connected by matches that one task may visit one by one
 
 _GROUP = ["frame_key", "class_id"]
 _BOX = [*_GROUP, *schemas.BOX_COLUMNS]
@@ -189,8 +194,84 @@ def _group_by_fold(det: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _group_large(det: DataFrame, threshold: float) -> DataFrame:
-    """The same groups for frames of any size, by joins.
+def group_limit(det: DataFrame, limit: int = FOLD_ROWS) -> int | None:
+    """What to pass as ``limit`` for ``det``: None when no frame and class has more rows than ``limit``.
+
+    One pre-aggregated count. Take it once when a detection table is written, and runs over that
+    table build their plans without a job.
+    """
+    largest = det.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0]
+    return None if largest is None or largest <= limit else limit
+
+
+def _group_large(det: DataFrame, threshold: float, component_rows: int | None = None) -> DataFrame:
+    """The same groups for frames of any size.
+
+    Copies of a box share their matches, so matches are found between distinct boxes, by joins. A
+    group never leaves a connected component of these matches. A box without any other is done: its
+    copies form one group. The components of a frame are independent, and a task visits the
+    detections of one of them in order, each in constant time unless it brings an earlier founder.
+    Only components of more than ``component_rows`` detections are left to ``_group_by_rounds``.
+    """
+    component_rows = COMPONENT_ROWS if component_rows is None else component_rows
+    wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    solid = (wide > 0) & (high > 0)
+    alone = det.filter(~solid).withColumn("gid", F.col("det_seq"))
+    det = det.filter(solid)
+
+    boxes = materialise(
+        det.groupBy(*_BOX)
+        .agg(F.min("det_seq").alias("first"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("box", F.monotonically_increasing_id())
+    )
+    meeting = _grid_join(boxes.select(*_BOX, "box"), threshold).filter(F.col("box") < F.col("o_box"))
+    match = iou(Box.named(), Box.named("o_")) >= F.lit(threshold)
+    links = materialise(meeting.filter(match).select("box", F.col("o_box").alias("to")))
+    found = materialise(components(links.select(F.col("box").alias("a"), F.col("to").alias("b"))))
+    placed = boxes.join(found.withColumnRenamed("node", "box"), "box", "left")
+    sizes = placed.filter("root IS NOT NULL").groupBy("root").agg(F.sum("copies").alias("_rows"))
+    giant = materialise(sizes.filter(F.col("_rows") > component_rows).select("root"))
+    placed = materialise(placed.join(broadcast_if_small(giant.withColumn("giant", F.lit(True))), "root", "left"))
+
+    at = broadcast_if_small(placed.select(*_BOX, "box", "first", "root", "giant"))
+    rows = det.join(at, _BOX)
+    single = rows.filter("root IS NULL").withColumn("gid", F.col("first")).select(*alone.columns)
+    joined = rows.filter("root IS NOT NULL AND giant IS NULL").select(*det.columns, "box", "root")
+    edges = links.join(found.withColumnRenamed("node", "box"), "box").join(
+        broadcast_if_small(giant), "root", "left_anti"
+    )
+    output = T.StructType([*det.schema.fields, T.StructField("gid", det.schema["det_seq"].dataType)])
+    visited = joined.groupBy("root").cogroup(edges.groupBy("root")).applyInPandas(_visit, output)
+    done = alone.unionByName(single).unionByName(visited.select(*alone.columns))
+    if giant.isEmpty():
+        return done
+    rest = rows.filter("giant").select(*det.columns)
+    return done.unionByName(_group_by_rounds(rest, threshold))
+
+
+def _visit(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Groups of one component: ``rows`` with their ``box``, and the pairs of boxes that match."""
+    matching = defaultdict(list)
+    for a, b in zip(links["box"].tolist(), links["to"].tolist(), strict=True):
+        matching[a].append(b)
+        matching[b].append(a)
+    rows = rows.sort_values("det_seq")
+    earliest: dict[int, int] = {}  # by box: the least group among the detections so far that match it
+    told: dict[int, int] = {}  # by box: the least group among its own copies so far
+    groups = []
+    for seq, box in zip(rows["det_seq"].tolist(), rows["box"].tolist(), strict=True):
+        gid = earliest.get(box, seq)
+        if gid < told.get(box, gid + 1):
+            told[box] = gid
+            for other in (box, *matching[box]):
+                if gid < earliest.get(other, gid + 1):
+                    earliest[other] = gid
+        groups.append(gid)
+    return rows.drop(columns=["box", "root"]).assign(gid=groups)
+
+
+def _group_by_rounds(det: DataFrame, threshold: float) -> DataFrame:
+    """The same groups by joins alone, in as many rounds as the longest chain of matches has steps.
 
     Unrolled, the recurrence says: gid(d) is the smallest detection from which d can be reached by
     matches of ever later ``det_seq``; that one is always a founder, with no earlier match at all.

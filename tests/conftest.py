@@ -23,7 +23,9 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     import __spark_entry__  # noqa: F401  puts the packages on the path
     from contract.queries import _ship
+    from reelsift.session import clear_scratch
 
     _ship(session)
     yield session
+    clear_scratch(session)
     session.stop()

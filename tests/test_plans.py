@@ -32,6 +32,29 @@ def test_ensemble_shuffles_detections_once(spark, no_broadcast):
     assert plan(found).count("Exchange hashpartitioning") == 1
 
 
+def test_plans_are_built_without_a_job(spark, no_broadcast):
+    """Group sizes are counted once for a table, not once for a run."""
+    t = tables(spark, SF_DIR)
+    ready = t.frames, t.regions, t.group_limit
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        found = subjects.primary_subject(voting.ensemble(t.det, ALL, ready[2]))
+        crops = curate(ready[0], t.det, ready[1], ALL, ready[2]).crops
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert plan(found).count("Exchange hashpartitioning") == 1 and crops.columns
+
+
+def test_small_sides_are_sent_and_large_ones_stay(spark, no_broadcast):
+    t = tables(spark, SF_DIR)
+    wanted = t.videos.selectExpr("video_id", "5 AS frame_index")
+    found = plan(frames.frame_lookup(t.frames, wanted))
+    assert "BroadcastHashJoin" in found and "LeftSemi" in found
+    progress = plan(frames.progress_pct(t.frames, t.videos, ALL))
+    assert "BroadcastHashJoin" in progress and "SortMergeJoin" not in progress
+
+
 def test_detections_are_shuffled_by_frame_only(spark, no_broadcast):
     t = tables(spark, SF_DIR)
     exchanges = re.findall(r"Exchange hashpartitioning\((\w+)", plan(curate(t.frames, t.det, t.regions, ALL, None).outcomes))

@@ -41,6 +41,19 @@ def test_nested_rows_give_the_same_outcomes(spark):
         assert batch.filter("outcome = 'saved'").count() > 0
 
 
+def test_large_frames_take_the_same_path(spark):
+    """A frame of 10,000 detections and some small ones: nested rows give what tables give."""
+    models = ["yolo", "detr", "fasterrcnn"]
+    frames = [[(*b, models[i % 3], 0.5 + i % 50 / 100) for i, b in enumerate(crowd(3, 10_000, spread=1500, copies=0.5))]]
+    frames += [[(*b, models[i % 3]) for i, b in enumerate(crowd(s, 20, copies=0.3))] for s in range(3)]
+    table = det(spark, *frames)
+    nested = nested_of(spark, table)
+    batch = curate(nested, table, None, ALL).outcomes
+    assert same(cs.curate_nested(nested, ALL), batch)
+    split = detections.categorise_nested(nested).filter("frame_key = 1").first()
+    assert len(split.person) + len(split.animal) + len(split.object) == 10_000
+
+
 def test_categorise_nested(spark):
     table = det(spark, [(0, 0, 0, 1, 1), (16, 0, 0, 2, 2), (0, 0, 0, 3, 3), (5, 0, 0, 4, 4)])
     row = detections.categorise_nested(nested_of(spark, table)).first()
@@ -52,7 +65,7 @@ def test_categorise_nested(spark):
 def parts_of(spark, tmp_path):
     """The frames of the given tables, arriving in three files."""
     t = tables(spark, SF_DIR)
-    nested = t.nested[0].withColumn("part", F.col("frame_key") % 3).persist()
+    nested = t.nested.withColumn("part", F.col("frame_key") % 3).persist()
     source = str(tmp_path / "in")
     return t, source, [nested.filter(F.col("part") == i).drop("part").coalesce(1) for i in range(3)]
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from samples import crowd, det, grouped, overlap
@@ -89,6 +90,47 @@ def test_large_frame_beside_small_ones(spark):
     assert found.columns == [*table.columns, "gid"]
 
 
+def test_giant_components_go_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(voting, "COMPONENT_ROWS", 5)
+    frames = [crowd(1, 40, size=(20, 40)), crowd(2, 40, copies=0.5, size=(20, 40)), *EXAMPLES.values()]
+    assert gids(voting.vote_groups(det(spark, *frames), ALL, 3)) == wanted(*frames)
+
+
+def chain(spark, boxes, rows):
+    """``rows`` detections in one frame, copies of boxes each of which matches the one before and after it."""
+    rng = random.Random(boxes)
+    places = list(range(boxes)) + [rng.randrange(boxes) for _ in range(rows - boxes)]
+    rng.shuffle(places)
+    table = spark.createDataFrame(pd.DataFrame({"det_seq": range(1, rows + 1), "p": places}))
+    return places, table.selectExpr(
+        "1 AS video_id", "1 AS frame_no", "1L AS frame_key", "100000 AS width", "1080 AS height",
+        "'yolo' AS model_source", "int(det_seq) AS det_seq", "int(p * 30) AS x1", "0 AS y1",
+        "int(p * 30 + 100) AS x2", "100 AS y2", "0.9D AS confidence", "0 AS class_id",
+    )
+
+
+def test_long_chain_with_many_copies(spark):
+    places, table = chain(spark, 2_000, 200_000)
+    least, expected = {}, {}
+    for seq, p in enumerate(places, 1):
+        gid = min((least[q] for q in (p - 1, p, p + 1) if q in least), default=seq)
+        least[p] = min(gid, least.get(p, gid))
+        expected[1, seq] = gid
+    assert gids(voting.vote_groups(table, ALL)) == expected
+
+
+def test_jobs_do_not_grow_with_the_chain(spark):
+    def jobs(boxes):
+        spark.sparkContext.setJobGroup(f"chain {boxes}", "")
+        try:
+            voting.vote_groups(chain(spark, boxes, boxes)[1], ALL, limit=1).count()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain {boxes}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs(400) <= jobs(40) + 30  # a few more rounds of components, not ten times as many
+
+
 def test_copies_of_one_box_may_fall_into_different_groups(spark):
     # The copy that comes after the bridge sees the earlier group, the first one did not.
     boxes = [(0, 0, 0, 100, 100), (0, 60, 0, 160, 100), (0, 30, 0, 130, 100), (0, 60, 0, 160, 100)]
