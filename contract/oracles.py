@@ -1,13 +1,29 @@
 """DuckDB SQL for the same results as ``queries``, written on its own terms.
 
-Groups are found by a recursive step through the detections of a frame, pixels are summed in closed
+Groups are found by going through the detections of a frame and scanning the groups founded so far, pixels are summed in closed
 form. DuckDB rounds where Spark truncates a cast, hence ``trunc``.
 """
 
 from __future__ import annotations
 
 from contract import toys
-from reelsift.functions.classes import COCO_GAPS, COCO_NAMES
+
+# Ids of the 91-entry COCO list that no category uses.
+COCO_GAPS = (12, 26, 29, 30, 45, 66, 68, 69, 71, 83)
+
+# The 80 COCO category names by contiguous id.
+COCO_NAMES = (
+    "person", "bicycle", "car", "motorcycle", "airplane", "bus", "train", "truck", "boat",
+    "traffic light", "fire hydrant", "stop sign", "parking meter", "bench", "bird", "cat",
+    "dog", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe", "backpack",
+    "umbrella", "handbag", "tie", "suitcase", "frisbee", "skis", "snowboard", "sports ball",
+    "kite", "baseball bat", "baseball glove", "skateboard", "surfboard", "tennis racket",
+    "bottle", "wine glass", "cup", "fork", "knife", "spoon", "bowl", "banana", "apple",
+    "sandwich", "orange", "broccoli", "carrot", "hot dog", "pizza", "donut", "cake", "chair",
+    "couch", "potted plant", "bed", "dining table", "toilet", "tv", "laptop", "mouse", "remote",
+    "keyboard", "cell phone", "microwave", "oven", "toaster", "sink", "refrigerator", "book",
+    "clock", "vase", "scissors", "teddy bear", "hair drier", "toothbrush",
+)
 
 FRAME = "video_id, frame_no, frame_key, width, height"
 
@@ -108,16 +124,23 @@ def _iou(a: str, b: str) -> str:
 
 
 def _votes(source: str) -> str:
-    """Group every detection of ``source``, then keep groups with two models."""
-    member = "struct_pack(gid := {gid}, c := class_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2)"
+    """Visit the detections of ``source`` one by one, look through the groups founded so far for the first
+    with a member that matches, and join it or found another; then keep groups with two models."""
+    box = "struct_pack(x1 := s.x1, y1 := s.y1, x2 := s.x2, y2 := s.y2)"
+    founded = f"struct_pack(gid := s.det_seq, c := s.class_id, m := [{box}])"
     return f"""s AS (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY det_seq) AS k FROM {source}),
 g AS (
-  SELECT frame_key, k, det_seq AS gid, [{member.format(gid="det_seq")}] AS st FROM s WHERE k = 1
+  SELECT frame_key, k, det_seq AS gid, [{founded}] AS st FROM s WHERE k = 1
   UNION ALL
-  SELECT frame_key, k, gid, list_append(st, {member.format(gid="gid")}) FROM (
-    SELECT s.*, g.st, coalesce(list_min(list_transform(
-        list_filter(g.st, lambda e: e.c = s.class_id AND {_iou("e", "s")} >= 0.5e0), lambda e: e.gid)), s.det_seq) AS gid
-    FROM g JOIN s ON s.frame_key = g.frame_key AND s.k = g.k + 1)),
+  SELECT s.frame_key, s.k, coalesce(h.hit, s.det_seq),
+    CASE WHEN h.hit IS NULL THEN list_append(h.st, {founded})
+      ELSE list_transform(h.st, lambda q: CASE WHEN q.gid = h.hit
+        THEN struct_pack(gid := q.gid, c := q.c, m := list_append(q.m, {box})) ELSE q END) END
+  FROM (
+    SELECT g.frame_key, s.k, g.st, list_filter(g.st, lambda q: q.c = s.class_id
+        AND len(list_filter(q.m, lambda e: {_iou("e", "s")} >= 0.5e0)) > 0)[1].gid AS hit
+    FROM g JOIN s ON s.frame_key = g.frame_key AND s.k = g.k + 1) h
+  JOIN s ON s.frame_key = h.frame_key AND s.k = h.k),
 grp AS (SELECT s.*, CAST(g.gid AS INT) AS gid FROM g JOIN s USING (frame_key, k)),
 cons AS (
   SELECT {FRAME}, gid, CAST(trunc(avg(x1)) AS INT) AS x1, CAST(trunc(avg(y1)) AS INT) AS y1,
@@ -184,7 +207,7 @@ OUTCOME = """outc AS (
   SELECT f.video_id, f.frame_no, f.frame_key, c.category, c.class_id, c.confidence, c.crop_x, c.crop_y, c.crop_w,
     c.crop_h, c.quality,
     CASE WHEN t.frame_key IS NOT NULL THEN 'skipped_text' WHEN c.frame_key IS NULL THEN 'skipped_no_detection'
-         WHEN c.quality > 0.3e0 THEN 'saved' ELSE 'rejected_quality' END AS outcome
+         WHEN c.crop_x IS NULL THEN 'no_crop' WHEN c.quality > 0.3e0 THEN 'saved' ELSE 'rejected_quality' END AS outcome
   FROM frames f LEFT JOIN textframes t USING (frame_key) LEFT JOIN crop c USING (frame_key)),
 saved AS (SELECT * FROM outc WHERE outcome = 'saved')"""
 
@@ -334,6 +357,13 @@ def oracle_sql() -> dict[str, str]:
             *det,
         ),
         "vote_groups": _with("SELECT frame_key, det_seq, class_id, model_source, gid FROM grp", *det, VOTES),
+        "vote_groups_crowded": _with(
+            "SELECT frame_key, det_seq, class_id, gid FROM grp",
+            *det,
+            """crowd AS (SELECT * REPLACE (frame_key % 40 AS frame_key, CAST(row_number() OVER (
+                 PARTITION BY frame_key % 40 ORDER BY frame_key, det_seq) AS INT) AS det_seq) FROM det)""",
+            _votes("crowd"),
+        ),
         "consensus": _with(f"SELECT {CONS} FROM cons", *det, VOTES),
         "effective_threshold": _with(
             f"SELECT {CONS} FROM cons",

@@ -222,6 +222,11 @@ def vote_groups(t: Tables) -> DataFrame:
     return voting.vote_groups(t.det, limit=t.group_limit).select(*KEY, "class_id", "model_source", "gid")
 
 
+@query
+def vote_groups_crowded(t: Tables) -> DataFrame:
+    return voting.vote_groups(t.crowded).select(*KEY, "class_id", "gid")
+
+
 @query
 def consensus(t: Tables) -> DataFrame:
     return voting.ensemble(t.det, ALL, t.group_limit)

@@ -121,6 +121,14 @@ class Tables:
     def det(self) -> DataFrame:
         return det_normalise(self.raw)
 
+    @cached_property
+    def crowded(self) -> DataFrame:
+        """The same detections in 40 frames, so that a frame and class has more than fit in a row."""
+        order = [F.col("_frame"), F.col("_seq")]
+        moved = self.det.withColumnsRenamed({"frame_key": "_frame", "det_seq": "_seq"})
+        numbered = number_within(moved.withColumn("frame_key", F.col("_frame") % 40), ["frame_key"], order, "det_seq")
+        return materialise(numbered.drop("_frame", "_seq"))
+
     @cached_property
     def regions(self) -> DataFrame:
         given = self.given("lineitem").join(self.frames, F.col("l_orderkey") == F.col("frame_key"))
