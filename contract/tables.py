@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from contract import toys
 from reelsift import schemas
-from reelsift.operators import voting
+from reelsift.operators import images, voting
 from reelsift.operators.detections import det_normalise
 from reelsift.operators.skew import number_within
 from reelsift.session import materialise, scratch_path
@@ -178,9 +178,9 @@ class Tables:
         """Counted once for the detections, as whoever writes them would."""
         return voting.group_limit(self.det)
 
-    @property
+    @cached_property
     def pixels(self) -> DataFrame:
-        """Small pictures of all frames: a gradient with one bright rectangle."""
+        """Small pictures of all frames, a gradient with one bright rectangle, bucketed by frame."""
         small = self.frames.withColumns({"width": F.lit(toys.WIDTH), "height": F.lit(toys.HEIGHT)})
         drawn = small.select(*schemas.FRAME_COLUMNS).mapInPandas(toys.draw, toys.DRAWN)
         image = F.struct(
@@ -191,7 +191,11 @@ class Tables:
             F.lit(16).alias("mode"),
             "data",
         )
-        return drawn.withColumn("image", image).drop("data")
+        path = scratch_path(self.spark, "pixels")
+        table = path.rsplit("/", 1)[-1].replace("-", "_")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        images.write_pixels(drawn.withColumn("image", image).drop("data"), table, buckets, path)
+        return self.spark.table(table)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:

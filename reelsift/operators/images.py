@@ -152,11 +152,15 @@ def crop_pixels(frames: DataFrame, crops: DataFrame) -> DataFrame:
     return flat.mapInPandas(cut, output).withColumn("image", image).drop("_c", "_mode", "_data")
 
 
-def write_pixels(frames: DataFrame, table: str, buckets: int) -> None:
-    """Save a pixel table bucketed and sorted by frame, for joins that leave pixels in place."""
-    (
-        frames.write.mode("overwrite")
+def write_pixels(frames: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Save a pixel table bucketed and sorted by frame, for joins that leave pixels in place.
+
+    It lies at ``path``, or in the warehouse.
+    """
+    writer = (
+        frames.repartition(buckets, "video_id", "frame_no")
+        .write.mode("overwrite")
         .bucketBy(buckets, "video_id", "frame_no")
         .sortBy("video_id", "frame_no")
-        .saveAsTable(table)
     )
+    (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -43,5 +43,20 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has materialised; call it when its last result has been read."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark can write."""
+    store, place = _located(spark, path)
+    store.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _located(spark, path)
+    return store.exists(place)

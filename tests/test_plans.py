@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from contract.tables import tables
-from reelsift.operators import subjects, voting
+from reelsift.operators import images, subjects, voting
 from reelsift.params import Params
-from reelsift.plans.curate import curate
+from reelsift.plans.curate import crop_subjects, curate
 from reelsift.sources import frames
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -55,6 +55,14 @@ def test_small_sides_are_sent_and_large_ones_stay(spark, no_broadcast):
     assert "BroadcastHashJoin" in progress and "SortMergeJoin" not in progress
 
 
+def test_pixels_stay_in_their_buckets(spark, no_broadcast):
+    t = tables(spark, SF_DIR)
+    subjects_of_frames = crop_subjects(t.det, Params(interval=1))
+    text = plan(images.crop_pixels(t.pixels, subjects_of_frames))
+    assert "Bucketed: true" in text
+    assert len(re.findall(r"Exchange hashpartitioning\(video_id", text)) == 1
+
+
 def test_detections_are_shuffled_by_frame_only(spark, no_broadcast):
     t = tables(spark, SF_DIR)
     exchanges = re.findall(r"Exchange hashpartitioning\((\w+)", plan(curate(t.frames, t.det, t.regions, ALL, None).outcomes))

@@ -102,3 +102,18 @@ def test_running_statistics(spark, tmp_path):
         cs.stream_stats(stream, out, state, ONE).awaitTermination()
     batch = stats.count_outcomes(curate(t.frames, t.det, t.regions, ONE).outcomes, ONE)
     assert same(cs.read_stats(spark.read.parquet(out)), batch)
+
+
+def test_statistics_are_compacted_and_start_over(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cs, "COMPACT", 1)
+    t, source, parts = parts_of(spark, tmp_path)
+    out = tmp_path / "out"
+    batch = stats.count_outcomes(curate(t.frames, t.det, t.regions, ONE).outcomes, ONE)
+    for state in ("first", "second"):  # a new checkpoint counts from nothing
+        for part in parts if state == "first" else [None]:
+            if part is not None:
+                part.write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schemas.NESTED).parquet(source)
+            cs.stream_stats(stream, str(out), str(tmp_path / state), ONE).awaitTermination()
+        assert len(list(out.glob("batch=*"))) == 1
+        assert same(cs.read_stats(spark.read.parquet(str(out))), batch)
