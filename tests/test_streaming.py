@@ -117,3 +117,32 @@ def test_statistics_are_compacted_and_start_over(spark, tmp_path, monkeypatch):
             cs.stream_stats(stream, str(out), str(tmp_path / state), ONE).awaitTermination()
         assert len(list(out.glob("batch=*"))) == 1
         assert same(cs.read_stats(spark.read.parquet(str(out))), batch)
+
+
+def test_single_rows_become_frames_and_late_ones_are_counted(spark, tmp_path):
+    t = tables(spark, SF_DIR)
+    kinds = {"frames": t.frames, "detections": t.det, "regions": t.regions}
+    some = F.col("frame_key") % 4 == 0
+    at = F.timestamp_seconds(F.col("frame_no"))
+    streams = {}
+    for name, table in kinds.items():
+        rows = table.filter(some).withColumn("event_time", at).coalesce(1)
+        rows.write.parquet(str(tmp_path / name))
+        streams[name] = spark.readStream.schema(rows.schema).parquet(str(tmp_path / name))
+    last = t.frames.limit(1).withColumns({"event_time": F.timestamp_seconds(F.lit(10**9)), "frame_key": F.lit(-1).cast("long")})
+
+    def run():
+        nested = cs.nest_rows(**streams, delay="1 minute").select(*schemas.NESTED.names)
+        return cs.stream_crops(nested, str(tmp_path / "out"), str(tmp_path / "state"), ALL)
+
+    run().awaitTermination()
+    last.write.mode("append").parquet(str(tmp_path / "frames"))  # time goes on, so frames are complete
+    run().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = curate(*(df.filter(some) for df in kinds.values()), ALL).crops
+    assert same(got, want.select(got.columns)) and got.count() > 0
+    late = t.det.filter(some).dropDuplicates(["frame_key"]).limit(3).withColumn("event_time", at)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "detections"))
+    query = run()
+    query.awaitTermination()
+    assert cs.late_frames(query) == 3 and same(spark.read.parquet(str(tmp_path / "out")), got)
