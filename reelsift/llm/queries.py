@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsift.llm import chat, ctw, decontaminate, line_dedup, minhash, mixing, quality, secrets, simhash, warc
+from reelsift.llm import chat, ctw, decontaminate, line_dedup, minhash, mixing, quality, secret_scan, simhash, warc
 from reelsift.llm.common import read
 from reelsift.session import materialise
 
@@ -115,9 +115,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the findings in documents whose crc32 leaves a remainder other than 2."""
     docs = read(spark, sf_dir, "documents")
-    found = materialise(secrets.candidates(docs))
-    model = secrets.fit(docs, secrets.labelled(found).filter(remainder(4) != 2))
-    scanned = secrets.scan(found, model).withColumn("held_out", remainder(4) == 2)
+    found = materialise(secret_scan.candidates(docs))
+    model = secret_scan.fit(docs, secret_scan.labelled(found).filter(remainder(4) != 2))
+    scanned = secret_scan.scan(found, model).withColumn("held_out", remainder(4) == 2)
     return scanned.select("doc_id", "at", "part", "candidate", "held_out", "score", "is_secret")
 
 

@@ -4,7 +4,7 @@ import re
 from helpers import AWKWARD, docs, sentences, words_of
 from pyspark.sql import functions as F
 
-from reelsift.llm import secrets
+from reelsift.llm import secret_scan as secrets
 
 
 def corpus(spark, n=600):
