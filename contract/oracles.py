@@ -338,6 +338,11 @@ def oracle_sql() -> dict[str, str]:
                 FROM frames LEFT JOIN (SELECT frame_key, count(*) AS n FROM texty GROUP BY 1) USING (frame_key)""",
             *reg,
         ),
+        "text_ocr_fallback": _with(
+            f"""SELECT {FRAME}, 0e0 AS text_ratio, coalesce(n, 0) >= 2 AS has_text
+                FROM frames LEFT JOIN (SELECT frame_key, count(*) AS n FROM texty GROUP BY 1) USING (frame_key)""",
+            *reg,
+        ),
         "text_ocr": _with(
             _ocr("(height - CAST(trunc(height * 0.75e0) AS INT))"), *reg
         ),

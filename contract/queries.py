@@ -191,6 +191,12 @@ def text_ocr_frame(t: Tables) -> DataFrame:
     return text.text_ocr(t.frames, t.ocr, strip_only=False)
 
 
+@query
+def text_ocr_fallback(t: Tables) -> DataFrame:
+    """No OCR at hand: the quick check decides."""
+    return text.text_ocr(t.frames, None, regions=t.regions)
+
+
 @query
 def text_gate(t: Tables) -> DataFrame:
     return text.text_gate(t.frames, t.regions)

@@ -60,12 +60,23 @@ def text_quick(frames: DataFrame, regions: DataFrame, params: Params = Params())
 
 
 def text_ocr(
-    frames: DataFrame, ocr: DataFrame, params: Params = Params(), strip_only: bool = True
+    frames: DataFrame,
+    ocr: DataFrame | None,
+    params: Params = Params(),
+    strip_only: bool = True,
+    regions: DataFrame | None = None,
 ) -> DataFrame:
     """Share of the strip (or frame) under OCR quads, and whether it is enough to call it text.
 
-    Quads count by their axis-aligned area, overlaps twice.
+    Quads count by their axis-aligned area, overlaps twice. Without OCR the quick check of ``regions``
+    decides, and shares are 0.
     """
+    if ocr is None:
+        if regions is None:
+            raise ValueError("without OCR results, give regions for the quick check")
+        quick = text_quick(frames, regions, params)
+        return quick.select(*schemas.FRAME_COLUMNS, F.lit(0.0).alias("text_ratio"), F.col("is_text").alias("has_text"))
+
     def extent(axis: str) -> Column:
         values = F.transform("poly", lambda p: p[axis])
         return F.array_max(values) - F.array_min(values)
