@@ -25,6 +25,7 @@ CUT = BETWEEN + MAGIC
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Refers-To", "WARC-Payload-Digest")
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -181,8 +182,8 @@ def _reached(candidates: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The true records below ``path``: ``file, start, record_type, record_id, uri, refers_to,
-    payload_digest`` (as stated), ``payload`` and ``payload_bytes``.
+    """The true records below ``path``: ``record_type, record_id, uri, refers_to, payload_digest`` (as
+    stated), ``payload`` and ``payload_bytes``.
 
     The payload is what follows the HTTP header of the block, or the block where there is none. Files
     without any record give none; a chain that breaks off keeps the records before the break.
@@ -213,10 +214,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     owned = materialise(
         marked.withColumn("owner", owner)
         .filter(F.col("owner").isNotNull() & (F.col("begin") < F.col("owner.body") + F.col("owner.length") + len(BETWEEN) + magic))
-        .drop("size", "head_end", "end")
+        .drop("head_end", "end")
     )
-    # bytes of each stretch inside its owner's block, with the magic that was cut away before it
-    data = stretches.select("file", "block", "nth", "raw").join(owned, ["file", "block", "nth"])
+    # a record that lies in one stretch is read where it is; the others, few, are put together
+    place, named = ["file", "block", "nth"], ("record_type", "record_id", "uri", "refers_to", "payload_digest")
+    inside = F.col("true") & (F.col("begin") + F.col("size") >= F.col("body") + F.col("length"))
+    apart = materialise(marked.filter(~F.coalesce(inside, F.lit(False))).select(*place))
+    alone = stretches.join(broadcast_if_small(apart), place, "left_anti")
+    length = _field(F.col("head"), "Content-Length").cast("long")
+    single = alone.select(
+        *(_field(F.col("head"), name).alias(alias) for name, alias in zip(FIELDS, named, strict=True)),
+        F.substring(F.col("raw"), (F.col("head_end") + len(BETWEEN)).cast("int"), length.cast("int")).alias("content"),
+    )
+    parts = owned.join(broadcast_if_small(apart), place, "left_semi")
+    data = stretches.select(*place, "raw").join(broadcast_if_small(parts), place)
     raw = F.when(F.col("true"), F.col("raw")).otherwise(F.concat(F.lit(CUT).cast("binary"), F.col("raw")))
     at = F.when(F.col("true"), F.col("begin")).otherwise(F.col("begin") - cut)
     skip = F.greatest(F.lit(0), F.col("owner.body") - F.col("at"))
@@ -224,25 +235,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     pieces = data.withColumn("raw", raw).withColumn("at", at).withColumn(
         "piece", F.substring(F.col("raw"), (skip + 1).cast("int"), keep.cast("int"))
     )
-    named = ("record_type", "record_id", "uri", "refers_to", "payload_digest")
-    whole = F.coalesce(F.col("true") & (F.octet_length("piece") == F.col("length")), F.lit(False))
-    single = pieces.filter(whole).select("file", "start", *named, F.col("piece").alias("content"))
     several = (
-        pieces.filter(~whole)
-        .groupBy("file", F.col("owner.start").alias("start"))
+        pieces.groupBy("file", F.col("owner.start").alias("start"))
         .agg(
             *(F.max(F.when(F.col("true"), F.col(c))).alias(c) for c in named),
             F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("all"),
         )
-        .select("file", "start", *named, F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["piece"])).alias("content"))
+        .select(*named, F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["piece"])).alias("content"))
     )
     content = F.col("content")
     http = F.substring(content, 1, 5) == F.lit(b"HTTP/")
     end = F.position(F.lit(BETWEEN).cast("binary"), content)
     payload = F.when(http & (end > 0), F.substring(content, end + len(BETWEEN), F.octet_length(content))).otherwise(content)
-    return single.unionByName(several).select(
-        "file", "start", *named, payload.alias("payload")
-    ).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    return single.unionByName(several).select(*named, payload.alias("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
