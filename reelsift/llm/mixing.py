@@ -19,7 +19,7 @@ from reelsift.session import materialise
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
-SLICE_ROWS = 20_000  # rows of one source whose offsets one window adds up
+SLICE_ROWS = 2_000  # rows of one source whose offsets one window adds up
 ROUNDS = 24  # of the permutation
 
 
