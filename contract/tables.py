@@ -126,7 +126,9 @@ class Tables:
         """The same detections in 40 frames, so that a frame and class has more than fit in a row."""
         order = [F.col("_frame"), F.col("_seq")]
         moved = self.det.withColumnsRenamed({"frame_key": "_frame", "det_seq": "_seq"})
-        numbered = number_within(moved.withColumn("frame_key", F.col("_frame") % 40), ["frame_key"], order, "det_seq")
+        one = {"video_id": F.lit(1), "frame_no": F.lit(1), "width": F.lit(3840), "height": F.lit(2160)}
+        moved = moved.withColumns({"frame_key": F.col("_frame") % 40, **one})
+        numbered = number_within(moved, ["frame_key"], order, "det_seq")
         return materialise(numbered.drop("_frame", "_seq"))
 
     @cached_property
