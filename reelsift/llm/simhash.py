@@ -7,18 +7,28 @@ whole fingerprints are compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from reelsift.llm.common import ascii_lower, let, packed, words
+from reelsift.llm.common import ascii_lower, let, packed, ship, words
 from reelsift.operators.graph import components
 from reelsift.operators.skew import broadcast_if_small
 from reelsift.session import materialise
 
 OUTPUTS = ("fingerprint", "component_id")
 HALF = 32
+SEGMENTS, SHORTEST = 12, 16  # segments of a fingerprint for near copies, and their least number of bits
+SPARE = 4  # bits of a segment beyond those that number the documents: chance shares a variant so seldom
+CHUNK = 1 << 17  # shingles whose bits are counted at once
+FARTHEST = 0.27  # share of differing bits beyond which texts are not compared
 HOT_HALF = 128  # fingerprints with one half in common from which on the other half is indexed too
 
 
@@ -148,11 +158,159 @@ def simhash_components(
     )
 
 
-def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id.
+# --- near copies by likeness ---------------------------------------------------------------------
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """A hash for each word of all texts, A-Z lower-cased, and whose it is."""
+    low = pc.ascii_lower(pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(low)
+    coded = pc.dictionary_encode(pc.list_flatten(lists))
+    names = [w.encode() for w in coded.dictionary.to_pylist()]
+    hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in names], np.uint64)
+    real = np.array([bool(w) for w in names], bool)
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+    if len(code):
+        owner, code = owner[real[code]], code[real[code]]
+    return hashes[code], owner, len(texts)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _runs(word: np.ndarray, owner: np.ndarray, texts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` words of each text, of all its words if there are fewer; and whose."""
+    sizes = np.bincount(owner, minlength=texts)
+    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    padded = np.concatenate([word, np.zeros(width, np.uint64)])
+    own = np.concatenate([owner, np.full(width, -1)])
+    h = np.zeros(len(word), np.uint64)
+    for k in range(width):
+        inside = own[k : k + len(word)] == owner
+        h = np.where(inside, _mixed(h + padded[k : k + len(word)] + np.uint64(1)), h)
+    place = np.arange(len(word)) - first[owner]
+    keep = (place <= sizes[owner] - width) | (place == 0)
+    return h[keep], owner[keep]
+
+
+def _describe(length: int, width: int, likeness_width: int):
+    """Per text: its ``SEGMENTS`` segments of ``length`` bits, and the hashes of its different shingles."""
+    longs = -(-SEGMENTS * length // 64)
+
+    def segments(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        count = np.zeros((texts, longs * 64), np.int64)
+        for at in range(0, len(h), CHUNK):  # so that a long text takes no more memory than short ones
+            part, of = h[at : at + CHUNK], owner[at : at + CHUNK]
+            begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            for k in range(longs):
+                part = _mixed(part + np.uint64(k + 1))
+                each = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                count[of[begin], 64 * k : 64 * k + 64] += np.add.reduceat(each, begin, axis=0, dtype=np.int32)
+        bits = 2 * count > np.bincount(owner, minlength=texts)[:, None]
+        cut = bits[:, : SEGMENTS * length].reshape(texts, SEGMENTS, length)
+        return (cut * (1 << np.arange(length))).sum(2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 250):
+                b = whole.slice(start, 250)
+                word, owner, n = _tokens(b.column(2))
+                cut = segments(*_runs(word, owner, n, width), n)
+                gram, of = _runs(word, owner, n, likeness_width)
+                pairs = np.unique(np.stack([of, (gram >> np.uint64(32)).astype(np.int64)]), axis=1)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(pairs[0], minlength=n))]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[1].astype(np.uint32).view(np.int32)))
+                at = pa.array(np.arange(0, n * SEGMENTS + 1, SEGMENTS).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(cut.ravel())), grams],
+                    ["_id", "node", "segments", "grams"],
+                )
+
+    return run
+
+
+def near_copies(
+    docs: DataFrame,
+    width: int = 3,
+    likeness_width: int = 5,
+    least: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``doc_id``, ``component_id``: the smallest id reachable over texts of Jaccard likeness ``least`` or more.
+
+    Likeness is that of the sets of ``likeness_width``-word shingles, verified for each link. Candidates
+    come from ``SEGMENTS`` segments of a SimHash of ``width``-word shingles: texts that agree in one segment
+    up to one bit share a one-wildcard variant, which is certain up to ``2 * SEGMENTS - 1`` differing bits
+    and likely beyond. A segment is a few bits longer than the number of documents, so a variant is rarely
+    shared by chance. Among those who share one, each meets the least, so a large group makes no
+    pairs within; it meets others in its other variants.
+
+    Texts that are equal but for the case of A-Z are one node. Texts without words are alike. Null ids
+    keep their row and never name a component that has another id.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    rows = packed(docs, (), _id=id_col, _text=text_col).select(
+        "_id", F.xxhash64(ascii_lower(F.coalesce("_text", F.lit("")))).alias("node"), "_text"
+    )
+    length = min(40, max(SHORTEST, rows.count().bit_length() + SPARE))
+    kind = rows.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, node long, segments array<bigint>, grams array<int>"
+    prints = materialise(rows.mapInArrow(_describe(length, width, likeness_width), schema))
+    nodes = materialise(
+        prints.groupBy("node").agg(F.min("_id").alias("least"), F.first("segments").alias("segments"))
+    )
+    places = F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("place")
+    keyed = nodes.select("node", F.posexplode("segments").alias("at", "bits")).select("node", "at", "bits", places)
+    masked = F.col("bits").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))))
+    slot = (F.col("at") * length + F.col("place")).cast("long")
+    key = F.call_function("shiftleft", slot, F.lit(40)).bitwiseOR(masked)
+    met = keyed.select("node", key.alias("key")).select(
+        "node", F.min("node").over(Window.partitionBy("key")).alias("first")
+    )
+    pairs = met.filter("node <> first").distinct()
+
+    segs = nodes.select("node", "segments")
+    close = F.aggregate(
+        F.zip_with("s", "segments", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d
+    ) <= int(FARTHEST * SEGMENTS * length)
+    close_pairs = materialise(
+        pairs.join(segs.select(F.col("node").alias("first"), F.col("segments").alias("s")), "first")
+        .join(segs, "node")
+        .filter(close)
+        .select("node", "first")
+    )
+    involved = close_pairs.select("node").union(close_pairs.select("first")).distinct()
+    sets = materialise(
+        prints.join(broadcast_if_small(involved), "node", "left_semi")
+        .groupBy("node")
+        .agg(F.first("grams").alias("grams"))
+    )
+    both = close_pairs.join(sets, "node").join(
+        sets.select(F.col("node").alias("first"), F.col("grams").alias("g")), "first"
+    )
+    common = F.size(F.array_intersect("grams", "g"))
+    alike = common >= F.lit(least) * (F.size("grams") + F.size("g") - common)
+    found = components(both.filter(alike).select(F.col("node").alias("a"), F.col("first").alias("b")))
+    rooted = materialise(
+        nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
+            "node", "least", F.coalesce("root", "node").alias("root")
+        )
+    )
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("node", "component_id")
+    return prints.select("_id", "node").join(named, "node").select(F.col("_id").alias("doc_id"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest id.
 
     Documents without id stay. Rows with one id are one document and stay or go together.
     """
-    found = materialise(simhash_components(docs, width))
+    found = materialise(near_copies(docs))
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")

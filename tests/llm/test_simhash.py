@@ -5,7 +5,7 @@ from helpers import AWKWARD, docs, lowered, sentences, words_of
 from pyspark.sql import functions as F
 
 from reelsift.operators.graph import components
-from reelsift.llm.simhash import links, one_of_each, simhash_components
+from reelsift.llm.simhash import links, near_copies, one_of_each, simhash_components
 
 
 def fingerprint(text):
@@ -80,3 +80,64 @@ def test_one_of_each_and_edges(spark):
     df = docs(spark, ["a b c d", "A b c d", "x y z w", None], [3, 1, 2, None]).withColumn("fp", F.lit(1))
     kept = one_of_each(df)
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, None} and kept.columns == df.columns
+
+
+def alike(rows, least=0.8):
+    """Smallest id reachable over texts whose sets of five-word shingles are alike."""
+    grams = []
+    for _, t in rows:
+        w = words_of(lowered(t))
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if both and both >= least * len(grams[i] | grams[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            smallest[find(i)] = min(d, smallest.get(find(i), d))
+    return [smallest.get(find(i)) for i in range(len(rows))]
+
+
+def edited(text, edits, draw):
+    w = text.split()
+    for at in draw.sample(range(len(w)), edits):
+        w[at] = f"new{draw.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies_against_brute_force(spark):
+    draw, base = random.Random(7), [t for t in sentences(60, seed=21, size=400) if len(t.split()) > 100]
+    texts = [*base]
+    for t in base:
+        texts += [edited(t, max(1, len(t.split()) // 120), draw), t.upper(), edited(t, len(t.split()) // 4, draw)]
+    texts += AWKWARD + AWKWARD[:3]
+    ids = [*range(len(texts) - 3, 0, -1), None, 0, 0]
+    rows = list(zip(ids, texts, strict=True))
+    want = alike(rows)
+    got = near_copies(docs(spark, texts, ids)).collect()
+    assert len(got) == len(rows)
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], r["component_id"])
+    held = [(found[i], w) for (i, _), w in zip(rows, want, strict=True) if i is not None]
+    assert not [x for x in held if x[0] < x[1]]  # nothing is joined that is not alike
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    draw = random.Random(8)
+    base = " ".join(f"w{draw.randrange(5000)}" for _ in range(300))
+    texts = [edited(base, 3, draw) for _ in range(400)] + sentences(100, seed=22, size=200)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, texts)).collect()}
+    assert sum(got[i] == 0 for i in range(400)) >= 396
+    assert all(got[i] >= 400 for i in range(400, 500))
