@@ -3,7 +3,7 @@
 A byte is eight binary decisions. For each, a tree of contexts (the bytes before it, up to ``DEPTH``)
 holds Krichevsky-Trofimov estimates, and the weighting mixes the trees of all depths. Trained on
 one part of the corpus the mixture is a fixed function of a byte and the bytes before it, so it is
-worked out once for each gram, level by level, as aggregations and joins; scoring adds up.
+worked out once for each gram, and scoring adds up.
 """
 
 from __future__ import annotations
@@ -18,25 +18,31 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import packed, ship
+from reelsift.llm.common import packed, parts, ship
 from reelsift.session import materialise
 
-DEPTH = 5  # bytes of context
+DEPTH = 5  # bytes of context, at most 6
+NEAR = 3  # last bytes of a context by which grams are dealt to tasks
+SLICE_GRAMS = 1 << 18
 EDGE = 0xFF  # stands before and, once, after a text; no byte of UTF-8
-BUFFER = 1 << 23  # bytes or words whose counts a task combines
+BUFFER = 1 << 21  # grams whose counts a task combines at once
 FREQUENT = 1 << 16  # words whose counts every task may hold
 BROADCAST_GRAMS = 1 << 23  # grams whose code lengths every task may hold: 100 MB
 
 
-def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
-    """Lower-cased (A-Z) words of all texts, how many each has, and the texts."""
-    own = texts.take(pa.array(np.arange(len(texts))))  # buffers of its own, from 0 on
-    low = pc.ascii_lower(pc.fill_null(own.cast(pa.large_string()), ""))
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z lower-cased, null as empty, in buffers of their own."""
+    own = texts.take(pa.array(np.arange(len(texts))))
+    return pc.ascii_lower(pc.fill_null(own.cast(pa.large_string()), ""))
+
+
+def _tokens(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each has."""
     lists = pc.ascii_split_whitespace(low)
     flat, sizes = pc.list_flatten(lists), np.diff(np.asarray(lists.offsets))
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    return flat.filter(pa.array(real)), np.bincount(owner[real], minlength=len(texts)), low
+    owner = np.repeat(np.arange(len(low)), sizes)
+    return flat.filter(pa.array(real)), np.bincount(owner[real], minlength=len(low))
 
 
 def _grams(low: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,29 +65,51 @@ def _grams(low: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[coded[depth:]].view(np.int64), np.repeat(np.arange(len(low)), sizes + 1)
 
 
+def _summed(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(gram)
+    gram = gram[order]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    return gram[first], np.add.reduceat(n[order], first)
+
+
 def _counted(depth: int):
-    """Per buffer: grams with their counts in training texts, 0 where only other texts have them."""
+    """Per task: grams with their counts in training texts, 0 where only other texts have them.
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        gram = np.concatenate([g for g, _ in held])
-        train = np.concatenate([t for _, t in held])
-        found, at = np.unique(gram, return_inverse=True)
-        n = np.bincount(at, weights=train, minlength=len(found)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["gram", "n"])
+    Grams are sorted with the mark of training as their last bit, a buffer at a time. What buffers have
+    in common is added up as long as it is at most ``BUFFER`` grams.
+    """
+
+    def different(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        code = np.concatenate(codes)
+        code.sort()
+        gram = code >> 1
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        return gram[first], np.add.reduceat(code & 1, first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        codes, size = [], 0
+        gram, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            g, k = different(codes)
+            return _summed(np.concatenate([gram, g]), np.concatenate([n, k]))
+
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                b = whole.slice(start, 500)
-                gram, owner = _grams(_tokens(b.column(0))[2], depth)
-                held.append((gram, b.column(1).to_numpy(zero_copy_only=False)[owner]))
-                size += len(gram)
+            for start in range(0, whole.num_rows, 100):
+                b = whole.slice(start, 100)
+                found, owner = _grams(_lowered(b.column(0)), depth)
+                codes.append(found << 1 | b.column(1).to_numpy(zero_copy_only=False)[owner])
+                size += len(found)
                 if size >= BUFFER:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
+                    gram, n = merged()
+                    codes, size = [], 0
+                    if len(gram) >= BUFFER:
+                        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+                        gram, n = gram[:0], n[:0]
+        if codes:
+            gram, n = merged()
+        if len(gram):
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
     return run
 
@@ -89,91 +117,125 @@ def _counted(depth: int):
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: words of training texts and their counts."""
     for b in batches:
-        coded = pc.value_counts(_tokens(b.column(0).filter(b.column(1)))[0])
+        coded = pc.value_counts(_tokens(_lowered(b.column(0).filter(b.column(1))))[0])
         if len(coded):
             yield pa.RecordBatch.from_arrays([coded.field("values").cast(pa.string()), coded.field("counts")], ["word", "n"])
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """log gamma of x > 0: Stirling's series at x + 8, and the recurrence back."""
     y = x + 8.0
-    series = (y - 0.5) * F.log(y) - y + 0.5 * float(np.log(2 * np.pi))
-    series = series + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
-    return series - F.log(reduce(lambda a, i: a * (x + i), range(1, 8), x))
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - np.log(reduce(lambda a, i: a * (x + i), range(1, 8), x))
 
 
-def log_kt(zeros: Column, ones: Column) -> Column:
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    a, b = zeros.cast("double"), ones.cast("double")
-    both = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - float(np.log(np.pi)) - _log_gamma(a + b + 1.0)
-    return F.when(a + b == 0, F.lit(0.0)).otherwise(both)
-
-
-def _mixed(evidence: Column, children: Column) -> Column:
-    """log of the mean of two probabilities given by their logs."""
-    top = F.greatest(evidence, children)
-    return top + F.log((F.exp(evidence - top) + F.exp(children - top)) / 2)
+    both = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - np.log(np.pi) - _log_gamma(zeros + ones + 1.0)
+    return np.where(zeros + ones == 0, 0.0, both)
 
 
-def _decisions(grams: DataFrame) -> DataFrame:
-    """A row for each of the eight decisions of each gram's last byte.
+class _Tree:
+    """The nodes of some grams' contexts, from ``depth`` bytes down to ``least`` bytes.
 
-    ``bits`` are the decisions before it, led by a 1.
+    A node is a context and the decisions made so far in the byte, led by a 1: one number, the
+    decisions in its last eight bits. All contexts that share a node must be there.
     """
-    step = F.explode(F.sequence(F.lit(7), F.lit(0), F.lit(-1))).alias("step")
-    byte = F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("byte")
-    return grams.select("*", F.shiftrightunsigned("gram", 8).alias("context"), byte, step).select(
-        *grams.columns,
-        "context",
-        F.call_function("shiftright", F.col("byte") + 256, F.col("step") + 1).alias("bits"),
-        F.call_function("shiftright", F.col("byte"), F.col("step")).bitwiseAND(F.lit(1)).alias("bit"),
-    )
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int, least: int) -> None:
+        byte = gram & 255
+        step = np.arange(7, -1, -1)
+        bits = (byte[:, None] + 256) >> (step + 1)
+        self.bit = (byte[:, None] >> step) & 1
+        nodes = ((gram & ~255)[:, None] | bits).ravel()
+        times = np.repeat(n, 8).astype(float)
+        key, at = np.unique(nodes, return_inverse=True)
+        ones = np.bincount(at, times * self.bit.ravel(), len(key))
+        zeros = np.bincount(at, times, len(key)) - ones
+        self.leaf, log_e = at.reshape(-1, 8), log_kt(zeros, ones)
+        self.levels = [(key, zeros, ones, log_e, None, log_e)]  # the deepest first
+        self.above = []  # a node's place in the level above
+        for d in range(depth - 1, least - 1, -1):
+            key, zeros, ones, _, _, log_w = self.levels[-1]
+            key, at = np.unique(key & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+            zeros, ones, children = (np.bincount(at, x, len(key)) for x in (zeros, ones, log_w))
+            log_e = log_kt(zeros, ones)
+            self.levels.append((key, zeros, ones, log_e, children, np.logaddexp(log_e, children) - np.log(2.0)))
+            self.above.append(at)
+
+    def log_p(self, left: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """Log probabilities of the grams' last bytes, from what shorter contexts leave to the top level
+        and the chance of a 0 they have gathered."""
+        for k in range(len(self.levels) - 1, -1, -1):
+            _, zeros, ones, log_e, children, _ = self.levels[k]
+            used = left if children is None else left / (1 + np.exp(np.minimum(children - log_e, 700.0)))
+            chance, left = chance + used * (zeros + 0.5) / (zeros + ones + 1.0), left - used
+            if k:
+                left, chance = left[self.above[k - 1]], chance[self.above[k - 1]]
+        zero = chance[self.leaf]
+        return np.log(np.where(self.bit == 0, zero, 1 - zero)).sum(1)
 
 
 def model(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``gram``, ``log_p``: natural log probability of a gram's last byte after those before it.
 
-    ``grams`` (gram, n) has all grams whose probability is wanted, with their counts in training.
-    A node is a context and the decisions made so far in the byte. Each level of the tree is one
-    aggregation of the level below it, then, from the root on, one join with the level above it.
+    ``grams`` (gram, n) has all grams whose probability is wanted, with their counts in training. Grams
+    are dealt by the last ``NEAR`` bytes of their contexts, so that every tree of longer contexts is whole
+    in one task; a task holds ``SLICE_GRAMS`` on average. The trees of shorter contexts are few nodes,
+    joined level by level.
     """
-    node = ["context", "bits"]
+    near = min(NEAR, depth)
+    ends = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * near)) - 1))
+    slices = parts(grams.sparkSession, grams.count(), SLICE_GRAMS)
+    dealt = grams.select("gram", "n", F.pmod(F.xxhash64(ends), F.lit(slices)).alias("slice"))
+
+    def top_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+        tree = _Tree(rows["gram"].to_numpy(), rows["n"].to_numpy(), depth, near)
+        key, zeros, ones, _, _, log_w = tree.levels[-1]
+        return pd.DataFrame({"node": key, "zeros": zeros, "ones": ones, "log_w": log_w})
 
-    def last_bytes(n: int) -> Column:
-        return F.col("context").bitwiseAND(F.lit((1 << (8 * n)) - 1))
+    nodes = dealt.groupBy("slice").applyInPandas(top_nodes, "node long, zeros double, ones double, log_w double")
+    levels = [materialise(nodes)]
 
-    def times(bit: int) -> Column:
-        return F.sum(F.when(F.col("bit") == bit, F.col("n")).otherwise(0))
+    def shortened(d: int) -> Column:
+        return F.col("node").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
 
-    level = _decisions(grams).groupBy(*node).agg(times(0).alias("zeros"), times(1).alias("ones"))
-    level = level.withColumn("log_e", log_kt(F.col("zeros"), F.col("ones")))
-    levels = [materialise(level.withColumn("log_w", F.col("log_e")))]
-    for d in range(depth - 1, -1, -1):
-        level = levels[0].groupBy(last_bytes(d).alias("context"), "bits").agg(
-            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("children")
+    for d in range(near - 1, -1, -1):
+        joined = levels[0].groupBy(shortened(d).alias("node")).agg(
+            *(F.sum(c).alias(c) for c in ("zeros", "ones")), F.sum("log_w").alias("children")
         )
-        level = level.withColumn("log_e", log_kt(F.col("zeros"), F.col("ones")))
-        levels.insert(0, materialise(level.withColumn("log_w", _mixed(F.col("log_e"), F.col("children")))))
+        levels.insert(0, materialise(joined.mapInPandas(_mixed, f"{LEVEL}, log_w double")))
 
     # from the root on: the weight left for longer contexts, and the chance of a 0 gathered so far
-    zero = (F.col("zeros") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
-    against = F.least(F.col("children") - F.col("log_e"), F.lit(700.0))
-    path = None
-    for d, level in enumerate(levels):
-        share = 1 / (1 + F.exp(against)) if d < depth else F.lit(1.0)
-        here = level.select(*node, share.alias("share"), zero.alias("zero"))
-        if path is None:
-            here = here.withColumns({"left": F.lit(1.0), "chance": F.lit(0.0)})
-        else:
-            above = path.select(F.col("context").alias("_up"), F.col("bits").alias("_bits"), "left", "chance")
-            here = here.join(above, (last_bytes(d - 1) == F.col("_up")) & (F.col("bits") == F.col("_bits")))
-        used = F.col("left") * F.col("share")
-        path = here.select(
-            *node, (F.col("left") - used).alias("left"), (F.col("chance") + used * F.col("zero")).alias("chance")
+    path = levels[0].select("node", F.lit(1.0).alias("left"), F.lit(0.0).alias("chance"))
+    for d in range(near):
+        zero = (F.col("zeros") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+        used = F.col("left") / (1 + F.exp(F.least(F.col("children") - F.col("log_e"), F.lit(700.0))))
+        here = levels[d].join(path, "node").select(
+            F.col("node").alias("_up"), (F.col("left") - used).alias("left"), (F.col("chance") + used * zero).alias("chance")
         )
-    p = F.when(F.col("bit") == 0, F.col("chance")).otherwise(1 - F.col("chance"))
-    decided = _decisions(grams.select("gram")).join(path.select(*node, "chance"), node)
-    return decided.groupBy("gram").agg(F.sum(F.log(p)).alias("log_p"))
+        path = levels[d + 1].select("node").join(here, shortened(d) == F.col("_up")).drop("_up")
+    path = path.withColumn(
+        "slice", F.pmod(F.xxhash64(F.shiftrightunsigned("node", 8)), F.lit(slices))
+    )
+
+    def lengths(rows: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
+        tree = _Tree(rows["gram"].to_numpy(), rows["n"].to_numpy(), depth, near)
+        top = top.sort_values("node")
+        log_p = tree.log_p(top["left"].to_numpy(), top["chance"].to_numpy()) if len(rows) else []
+        return pd.DataFrame({"gram": rows["gram"], "log_p": log_p})
+
+    return dealt.groupBy("slice").cogroup(path.groupBy("slice")).applyInPandas(lengths, "gram long, log_p double")
+
+
+LEVEL = "node long, zeros double, ones double, children double, log_e double"
+
+
+def _mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add a node's own evidence, and the mean of it and its children's."""
+    for b in batches:
+        log_e = log_kt(b["zeros"].to_numpy(), b["ones"].to_numpy())
+        yield b.assign(log_e=log_e, log_w=np.logaddexp(log_e, b["children"].to_numpy()) - np.log(2.0))
 
 
 class _Scorer:
@@ -186,10 +248,10 @@ class _Scorer:
         known, counts, grams, log_p, log10_all, ends = self.sent.value
         words, grams = pd.Index(known), None if grams is None else pd.Index(grams)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                b = whole.slice(start, 500)
-                flat, sizes, low = _tokens(b.column(1))
-                gram, gram_owner = _grams(low, self.depth)
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                low = _lowered(b.column(1))
+                flat, sizes = _tokens(low)
                 n = len(low)
                 owner = np.repeat(np.arange(n), sizes)
                 coded = pc.dictionary_encode(flat)
@@ -200,13 +262,17 @@ class _Scorer:
                 seen = np.bincount(owner, (at >= 0)[code], n).astype(np.int64) + int(ends > 0)
                 rare = at[code] < 0
                 rare_words = _listed(owner[rare], code[rare], n, lambda c: coded.dictionary.cast(pa.string()).take(pa.array(c)))
-                if grams is None:
-                    total, left = np.zeros(n), _listed(gram_owner, gram, n, pa.array)
-                else:
-                    total = np.bincount(gram_owner, log_p[grams.get_indexer(gram)], n)
-                    left = _listed(gram_owner[:0], gram[:0], n, pa.array)
+                total, left = np.zeros(n), []
+                for first in range(0, n, 100):  # grams take many times the memory of their texts
+                    few = low.slice(first, 100)
+                    gram, of = _grams(few, self.depth)
+                    if grams is None:
+                        left.append(_listed(of, gram, len(few), pa.array))
+                    else:
+                        total[first : first + 100] = np.bincount(of, log_p[grams.get_indexer(gram)], len(few))
+                        left.append(_listed(of[:0], gram[:0], len(few), pa.array))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(sizes + 1), pa.array(seen), pa.array(base), pa.array(total), rare_words, left],
+                    [b.column(0), pa.array(sizes + 1), pa.array(seen), pa.array(base), pa.array(total), rare_words, pa.concat_arrays(left)],
                     ["_key", "n_tokens", "n_known", "base", "log_p", "words", "grams"],
                 )
 
@@ -259,10 +325,10 @@ def score(
     ends = rows.agg(F.count_if("_train")).first()[0]
     tokens, distinct = tokens + ends, distinct + (ends > 0)
     log10_all = float(np.log10(tokens + 0.5 * (distinct + 1)))
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
+    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow().to_pandas()
     held = None, None
     if lengths.count() <= broadcast_grams:
-        table = lengths.toPandas()
+        table = lengths.toArrow().to_pandas()
         held = table["gram"].to_numpy(), table["log_p"].to_numpy()
     known = top["word"].to_numpy(object), np.append(top["n"].to_numpy(np.int64), 0)
     scorer = _Scorer(depth, spark.sparkContext.broadcast((*known, *held, log10_all, ends)))
