@@ -25,10 +25,8 @@ from reelsift.session import materialise
 
 OUTPUTS = ("fingerprint", "component_id")
 HALF = 32
-SEGMENTS, SHORTEST = 12, 16  # segments of a fingerprint for near copies, and their least number of bits
-SPARE = 4  # bits of a segment beyond those that number the documents: chance shares a variant so seldom
-CHUNK = 1 << 17  # shingles whose bits are counted at once
-FARTHEST = 0.27  # share of differing bits beyond which texts are not compared
+USUAL, USUAL_SHINGLES = 8, 1 << 18  # counted texts from which on a shingle comes last, and the most such shingles
+USUAL_DOCS, USUAL_STEP = 50_000, 16  # texts counted at the least, beyond which one in so many is
 HOT_HALF = 128  # fingerprints with one half in common from which on the other half is indexed too
 
 
@@ -196,45 +194,96 @@ def _runs(word: np.ndarray, owner: np.ndarray, texts: int, width: int) -> tuple[
     return h[keep], owner[keep]
 
 
-def _describe(length: int, width: int, likeness_width: int):
-    """Per text: its ``SEGMENTS`` segments of ``length`` bits, and the hashes of its different shingles."""
-    longs = -(-SEGMENTS * length // 64)
+def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The different shingles of each text as hashes in order, and whose they are."""
+    gram, of = _runs(*(found := _tokens(texts)), width)
+    order = np.lexsort((gram, of))
+    gram, of = gram[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (gram[1:] != gram[:-1])
+    return gram[new], of[new], found[2]
 
-    def segments(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-        count = np.zeros((texts, longs * 64), np.int64)
-        for at in range(0, len(h), CHUNK):  # so that a long text takes no more memory than short ones
-            part, of = h[at : at + CHUNK], owner[at : at + CHUNK]
-            begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            for k in range(longs):
-                part = _mixed(part + np.uint64(k + 1))
-                each = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                count[of[begin], 64 * k : 64 * k + 64] += np.add.reduceat(each, begin, axis=0, dtype=np.int32)
-        bits = 2 * count > np.bincount(owner, minlength=texts)[:, None]
-        cut = bits[:, : SEGMENTS * length].reshape(texts, SEGMENTS, length)
-        return (cut * (1 << np.arange(length))).sum(2)
+
+def _lists(values: np.ndarray, of: np.ndarray, texts: int) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=texts))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def _counted(width: int):
+    """Shingles and in how many of the texts at hand each is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram, n = np.unique(_sets(b.column(2), width)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+    return run
+
+
+def _usual(rows: DataFrame, width: int) -> np.ndarray:
+    """Shingles of many texts, sorted. Which they are decides how many texts meet, never which links are found."""
+    step = max(1, min(USUAL_STEP, rows.count() // USUAL_DOCS))
+    some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0)
+    counts = some.mapInArrow(_counted(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    most = counts.filter(F.col("n") >= USUAL).orderBy(F.desc("n"), "gram").limit(USUAL_SHINGLES).select("gram")
+    return np.sort(most.toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _describe(width: int, least: float, usual: np.ndarray):
+    """Per text: how many different shingles it has, those it must share one of with any text alike, and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 250):
                 b = whole.slice(start, 250)
-                word, owner, n = _tokens(b.column(2))
-                cut = segments(*_runs(word, owner, n, width), n)
-                gram, of = _runs(word, owner, n, likeness_width)
-                pairs = np.unique(np.stack([of, (gram >> np.uint64(32)).astype(np.int64)]), axis=1)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(pairs[0], minlength=n))]).astype(np.int32)
-                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[1].astype(np.uint32).view(np.int32)))
-                at = pa.array(np.arange(0, n * SEGMENTS + 1, SEGMENTS).astype(np.int32))
+                gram, of, n = _sets(b.column(2), width)
+                short = (gram >> np.uint64(32)).astype(np.uint32)
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (short[1:] != short[:-1])
+                size = np.bincount(of, minlength=n)
+                late = np.isin(gram, usual)
+                order = np.lexsort((gram, late, of))
+                at = np.arange(len(of)) - (np.cumsum(size) - size)[of]
+                kept = at < (size - np.ceil(least * size - 1e-9).astype(np.int64) + 1)[of]
+                none = np.flatnonzero(size == 0)  # texts without words share the shingle 0
+                head, head_of = np.r_[gram[order][kept], np.zeros(len(none), np.uint64)], np.r_[of[kept], none]
+                by_text = np.argsort(head_of, kind="stable")
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(cut.ravel())), grams],
-                    ["_id", "node", "segments", "grams"],
+                    [
+                        b.column(0),
+                        b.column(1),
+                        pa.array(size.astype(np.int32)),
+                        _lists(head[by_text].view(np.int64), head_of[by_text], n),
+                        _lists(short[new].view(np.int32), of[new], n),
+                    ],
+                    ["_id", "node", "n", "heads", "grams"],
                 )
 
     return run
 
 
+def _alike(prints: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of the ``pairs`` ``a``, ``b`` whose sets of shingles are alike, written down."""
+    pairs = materialise(pairs)
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = materialise(
+        prints.join(broadcast_if_small(involved), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    )
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("f")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("grams").alias("g")), "b"
+    )
+    common = F.size(F.array_intersect("f", "g"))
+    return materialise(both.filter(common >= F.lit(least) * (F.size("f") + F.size("g") - common)).select("a", "b"))
+
+
+def _may_be_alike(a: str, b: str, least: float) -> Column:
+    """Whether two texts whose first common shingle is at ``at`` of ``n`` in each can share enough of them."""
+    left = F.least(F.col(f"{a}n") - F.col(f"{a}at"), F.col(f"{b}n") - F.col(f"{b}at"))
+    return left * (1 + least) + 1e-6 >= least * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def near_copies(
     docs: DataFrame,
-    width: int = 3,
     likeness_width: int = 5,
     least: float = 0.8,
     id_col: str = "doc_id",
@@ -242,12 +291,11 @@ def near_copies(
 ) -> DataFrame:
     """``doc_id``, ``component_id``: the smallest id reachable over texts of Jaccard likeness ``least`` or more.
 
-    Likeness is that of the sets of ``likeness_width``-word shingles, verified for each link. Candidates
-    come from ``SEGMENTS`` segments of a SimHash of ``width``-word shingles: texts that agree in one segment
-    up to one bit share a one-wildcard variant, which is certain up to ``2 * SEGMENTS - 1`` differing bits
-    and likely beyond. A segment is a few bits longer than the number of documents, so a variant is rarely
-    shared by chance. Among those who share one, each meets the least, so a large group makes no
-    pairs within; it meets others in its other variants.
+    Likeness is that of the sets of ``likeness_width``-word shingles, verified for each link. Shingles have one
+    order, by hash, those of many texts last. Of ``n`` shingles two texts alike share ``least * n`` at the least,
+    so they share one of the first ``n - least * n + 1`` of each: no link is missed, however many texts there are.
+    Of the texts that have such a shingle in common each meets the least, so a large group makes no pairs
+    within; it meets others in its other shingles.
 
     Texts that are equal but for the case of A-Z are one node. Texts without words are alike. Null ids
     keep their row and never name a component that has another id.
@@ -257,47 +305,22 @@ def near_copies(
     rows = packed(docs, (), _id=id_col, _text=text_col).select(
         "_id", F.xxhash64(ascii_lower(F.coalesce("_text", F.lit("")))).alias("node"), "_text"
     )
-    length = min(40, max(SHORTEST, rows.count().bit_length() + SPARE))
     kind = rows.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, node long, segments array<bigint>, grams array<int>"
-    prints = materialise(rows.mapInArrow(_describe(length, width, likeness_width), schema))
-    nodes = materialise(
-        prints.groupBy("node").agg(F.min("_id").alias("least"), F.first("segments").alias("segments"))
-    )
-    places = F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("place")
-    keyed = nodes.select("node", F.posexplode("segments").alias("at", "bits")).select("node", "at", "bits", places)
-    masked = F.col("bits").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))))
-    slot = (F.col("at") * length + F.col("place")).cast("long")
-    key = F.call_function("shiftleft", slot, F.lit(40)).bitwiseOR(masked)
-    met = keyed.select("node", key.alias("key")).select(
-        "node", F.min("node").over(Window.partitionBy("key")).alias("first")
-    )
-    pairs = met.filter("node <> first").distinct()
-
-    segs = nodes.select("node", "segments")
-    close = F.aggregate(
-        F.zip_with("s", "segments", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d
-    ) <= int(FARTHEST * SEGMENTS * length)
-    close_pairs = materialise(
-        pairs.join(segs.select(F.col("node").alias("first"), F.col("segments").alias("s")), "first")
-        .join(segs, "node")
-        .filter(close)
-        .select("node", "first")
-    )
-    involved = close_pairs.select("node").union(close_pairs.select("first")).distinct()
-    sets = materialise(
-        prints.join(broadcast_if_small(involved), "node", "left_semi")
-        .groupBy("node")
-        .agg(F.first("grams").alias("grams"))
-    )
-    both = close_pairs.join(sets, "node").join(
-        sets.select(F.col("node").alias("first"), F.col("grams").alias("g")), "first"
-    )
-    common = F.size(F.array_intersect("grams", "g"))
-    alike = common >= F.lit(least) * (F.size("grams") + F.size("g") - common)
-    found = components(both.filter(alike).select(F.col("node").alias("a"), F.col("first").alias("b")))
+    schema = f"_id {kind}, node long, n int, heads array<bigint>, grams array<int>"
+    usual = _usual(rows, likeness_width)
+    prints = materialise(rows.mapInArrow(_describe(likeness_width, least, usual), schema))
+    nodes = prints.groupBy("node").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("heads").alias("heads"))
+    nodes = materialise(nodes)
+    heads = nodes.select("node", "n", F.posexplode("heads").alias("at", "key"))
+    own = F.struct("node", "n", "at")
+    of_key = Window.partitionBy("key")
+    met = heads.select("key", "node", "n", "at", F.min(own).over(of_key).alias("first"), F.max("node").over(of_key).alias("last"))
+    met = materialise(met.filter(F.col("first.node") != F.col("last")).drop("last"))
+    pairs = met.filter("node <> first.node").filter(_may_be_alike("", "first.", least))
+    linked = _alike(prints, pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), least)
+    found = components(linked)
     rooted = materialise(
-        nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
+        nodes.select("node", "least").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
             "node", "least", F.coalesce("root", "node").alias("root")
         )
     )

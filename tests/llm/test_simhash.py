@@ -141,3 +141,18 @@ def test_a_large_group_of_near_copies_is_one(spark):
     got = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, texts)).collect()}
     assert sum(got[i] == 0 for i in range(400)) >= 396
     assert all(got[i] >= 400 for i in range(400, 500))
+
+
+def test_every_pair_just_above_the_threshold_is_linked(spark):
+    draw, texts = random.Random(9), []
+    for i in range(400):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+        if i % 2:
+            other = base + [f"x{draw.randrange(10**6)}" for _ in range(50)]  # 200 of 250: a likeness of 0.8
+        else:
+            other = base.copy()
+            for at in range(10, 50, 10):  # four edits: 180 of 220
+                other[at] = f"new{draw.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
