@@ -295,7 +295,7 @@ def near_copies(
     order, by hash, those of many texts last. Of ``n`` shingles two texts alike share ``least * n`` at the least,
     so they share one of the first ``n - least * n + 1`` of each: no link is missed, however many texts there are.
     Of the texts that have such a shingle in common each meets the least, so a large group makes no pairs
-    within; it meets others in its other shingles.
+    within. Where these do not all become one group, those of different groups meet each other too.
 
     Texts that are equal but for the case of A-Z are one node. Texts without words are alike. Null ids
     keep their row and never name a component that has another id.
@@ -319,6 +319,14 @@ def near_copies(
     pairs = met.filter("node <> first.node").filter(_may_be_alike("", "first.", least))
     linked = _alike(prints, pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), least)
     found = components(linked)
+    rest = met.join(found, "node", "left").select("key", "node", "n", "at", "first", F.coalesce("root", "node").alias("root"))
+    rest = rest.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key))
+    rest = materialise(rest.filter("low <> high and node <> first.node").select("key", "node", "n", "at", "root"))
+    if not rest.isEmpty():
+        x, y = (rest.select("key", F.struct("node", "n", "at", "root").alias(c)) for c in "xy")
+        apart = x.join(y, "key").filter("x.node < y.node and x.root <> y.root").filter(_may_be_alike("x.", "y.", least))
+        more = _alike(prints, apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), least)
+        found = components(linked.union(more))
     rooted = materialise(
         nodes.select("node", "least").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
             "node", "least", F.coalesce("root", "node").alias("root")

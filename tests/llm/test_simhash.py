@@ -156,3 +156,21 @@ def test_every_pair_just_above_the_threshold_is_linked(spark):
         texts += [" ".join(base), " ".join(other)]
     got = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, texts)).collect()}
     assert got == {i: i - i % 2 for i in range(800)}
+
+
+def test_repeats_within_a_text_do_not_hide_a_link(spark):
+    draw = random.Random(10)
+    base = " ".join(f"w{draw.randrange(10**6)}" for _ in range(200))
+    line = " ".join(f"line{k}" for k in range(12))
+    got = near_copies(docs(spark, [f"{base} {line}", f"{base} {' '.join([line] * 40)}"])).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_texts_alike_meet_where_the_least_is_like_neither(spark):
+    draw, texts = random.Random(11), []
+    for _ in range(60):
+        template = [f"t{draw.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+        for own in (60, 20, 20):  # the last two are alike to 200 of 240, the first to them to 200 of 280
+            texts.append(" ".join(template + [f"w{draw.randrange(10**6)}" for _ in range(own)]))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, texts)).collect()}
+    assert got == {i: i - (i % 3 == 2) for i in range(180)}
