@@ -21,6 +21,8 @@ from reelsift.session import materialise
 LEAST = 16  # characters of a candidate
 RUN = rf"[A-Za-z0-9_+/-]{{{LEAST},}}={{0,2}}"
 KEY_WORDS = ("token", "secret", "key", "password", "passwd", "auth", "bearer", "credential", "apikey")
+KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"
+HASHED = r"(commit|revision|sha-?(1|256|512)|md5|digest|checksum)"  # what names a hash
 DICTIONARY = 2000  # most frequent letter triples of ordinary words
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 FEATURES = (
@@ -57,14 +59,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """``found`` with ``label``: 1 where a key word is assigned the candidate in quotes.
+    """``found`` with ``label``: 1 for secrets, 0 for others, null where the surroundings do not tell.
 
+    Secrets are what is assigned to a key word, in quotes or not, follows ``Bearer``, or has the format of a
+    known kind of key. Others are paths, plain words, runs without letters, and hashes that are called so.
     For corpora that come without labelled findings.
     """
-    tail = F.concat_ws(" ", "earlier", "before", F.expr("substring_index(word, candidate, 1)"))
-    named = ascii_lower(tail).rlike(rf"({'|'.join(KEY_WORDS)})\W*[=:]\s*[\"']$")
-    mixed = F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]")
-    return found.withColumn("label", (named & mixed).cast("int"))
+    c, word = F.col("candidate"), F.col("word")
+    tail = ascii_lower(F.concat_ws(" ", "earlier", "before", F.expr("substring_index(word, candidate, 1)")))
+    keys = "|".join(KEY_WORDS)
+    quoted = tail.rlike(rf"({keys})\W*[=:]\s*[\"']$")
+    named = tail.rlike(rf"({keys})\W*[=:]\s*$|\bbearer\s+$")
+    mixed = c.rlike("[0-9]") & c.rlike("[A-Za-z]")
+    path = word.rlike("^(/|\\./|~/|[A-Za-z]:\\\\)") | word.contains("://") | c.startswith("/")
+    plain = c.rlike("^[A-Za-z]?[a-z_/+-]*=*$|^[A-Z_/+-]*=*$|^[^A-Za-z]*$")
+    hashed = c.rlike("^[0-9a-fA-F]{32,}$") & tail.rlike(rf"\b{HASHED}\W*$")
+    secret = mixed & (quoted | c.rlike(KNOWN) | (named & ~path))
+    return found.withColumn("label", F.when(secret, 1).when(path | plain | hashed, 0))
 
 
 @dataclass(frozen=True)
@@ -147,14 +158,13 @@ def described(found: DataFrame, model: SecretModel) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, findings: DataFrame, max_per_class: int = 5000, max_docs: int = 4000, trees: int = 20, depth: int = 6,
+    docs: DataFrame, findings: DataFrame, max_per_class: int = 5000, trees: int = 20, depth: int = 6,
     seed: int = 5, id_col: str = "doc_id", text_col: str = "text",
 ) -> SecretModel:
     """Learn from ``findings``: rows of ``candidates`` with ``label`` (1 secret, 0 false positive).
 
     At most ``max_per_class`` findings of either label are used, those with the least hashes; how
-    ordinary words look is learnt from ``max_docs`` documents, again by hash. Findings without label
-    are left out. Without both labels there is nothing to tell apart, and every candidate counts.
+    ordinary words look is counted over all documents. Findings without label are left out. Without both labels there is nothing to tell apart, and every candidate counts.
     """
     by_hash = F.xxhash64(F.lit(seed), "doc_id", "at", "part")
     known = materialise(findings.dropna(subset=["label"]))
@@ -162,9 +172,7 @@ def fit(
     sample = materialise(classes[0].union(classes[1]))
     if sample.select("label").distinct().count() < 2:
         return SecretModel()
-    few = packed(docs, (), _id=id_col, _text=text_col).select("_id", "_text")
-    ids = few.select("_id").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_docs)
-    learnt = _learn_words(few.join(F.broadcast(ids.distinct()), "_id", "left_semi"), "_text")
+    learnt = _learn_words(packed(docs, (), _text=text_col).select("_text"), "_text")
     rows = materialise(described(sample, SecretModel(*learnt)).select("label", *FEATURES))
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
