@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsift.llm import chat, ctw, decontaminate, line_dedup, minhash, mixing, quality, secret_scan, simhash, warc
-from reelsift.llm.common import read
+from reelsift.llm import (
+    chat, ctw, decontaminate, line_dedup, minhash, mixing, periodic, quality, secret_scan, simhash, warc,
+)
+from reelsift.llm.common import let, read, words
 from reelsift.session import materialise
 
 _registry: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +167,37 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``docs`` in which the tail of every tenth text, by the crc32 of its id, repeats."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w, n):
+        a = F.pmod(g, n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    def edited(w):
+        return let(F.size(w), lambda n: F.when(n > 0, repeated(w, n)).otherwise(F.lit("")))
+
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words(F.col("text")), edited)).otherwise(F.col("text")))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = periodic.periodic_runs(with_planted_period(docs))
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    return done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed_text").select(
+        "doc_id", "n_runs",
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.col3")).alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
