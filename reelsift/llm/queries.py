@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsift.llm import (
-    chat, ctw, decontaminate, line_dedup, minhash, mixing, periodic, quality, secret_scan, simhash, warc,
+    chat, ctw, decontaminate, lexical, line_dedup, minhash, mixing, periodic, quality, secret_scan, simhash, warc,
 )
 from reelsift.llm.common import let, read, words
 from reelsift.session import materialise
@@ -201,3 +201,33 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"),
         F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
     )
+
+
+SEARCH = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+corpus AS (SELECT count(*) AS texts, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM docs WHERE len(terms) > 0),
+items AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+spread AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM docs),
+times AS (SELECT doc_id, n, term, count(*) AS tf FROM spread WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(texts) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM times, corpus GROUP BY term),
+impacts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * texts) // all_terms)))) AS part
+  FROM times JOIN weights USING (term), corpus),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM items JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query("op12_lexical_search", SEARCH)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
