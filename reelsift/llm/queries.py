@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsift.llm import (
-    chat, ctw, decontaminate, lexical, line_dedup, minhash, mixing, periodic, quality, secret_scan, simhash, warc,
+    chat, ctw, decontaminate, lexical, line_dedup, minhash, mixing, periodic, quality, secret_scan, simhash,
+    url_filter, warc,
 )
 from reelsift.llm.common import let, read, words
 from reelsift.session import materialise
@@ -231,3 +232,20 @@ FROM scores WHERE score > 0 QUALIFY rank <= 50
 @query("op12_lexical_search", SEARCH)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+RULES = (  # as the query is asked for
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+
+
+@query("op13_url_filter")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names are split by the words of all pages; what rules have judged teaches the rest."""
+    pages = read(spark, sf_dir, "pages")
+    counts = url_filter.word_counts(pages, "html")
+    return url_filter.judge(pages.select("page_id", "url"), counts, RULES)
