@@ -277,7 +277,7 @@ def oracle_sql() -> dict[str, str]:
     bright = f"greatest(0, {ox1} - {ox0}) * greatest(0, {oy1} - {oy0}) * 3 * (200 + frame_key % 5)"
     crop_xyxy = ("crop_x", "crop_x + crop_w", "crop_y", "crop_y + crop_h")
     run = f"{_stem} || '_9x16_yolo_turbo'"
-    return {
+    found = {
         "video_manifest": _with("SELECT path FROM paths", MANIFEST),
         "video_info": _with(
             "SELECT *, CASE WHEN fps > 0 THEN total_frames / fps ELSE 0e0 END AS duration FROM videos", FRAMES
@@ -455,7 +455,7 @@ def oracle_sql() -> dict[str, str]:
                 UNION ALL SELECT NULL, NULL, (SELECT count(*) FROM videos), count(*), {totals}, round(sum(d), 6) FROM timed""",
             *ONE_RUN, TURBO_COUNTS,
             """timed AS (SELECT s.*, CASE WHEN fps > 0 THEN total_frames / fps ELSE 0e0 END AS d
-                 FROM stats s JOIN videos v ON s.video_id = v.video_id WHERE s.video_id < 35)""",
+                 FROM stats s JOIN videos v ON s.video_id = v.video_id)""",
         ),
         "processing_fps": _with(
             """SELECT video_id, processed_frames, d AS processing_time,
@@ -488,7 +488,23 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_harvest": _with(f"SELECT {CROPS} FROM saved", *ALL_RUN),
         "stream_stats": _with(stats_of, *ONE_RUN, TURBO_COUNTS),
+        "stream_long_rows": _with(f"SELECT {CROPS} FROM saved", *ALL_RUN),
+        "stream_resume": _with(f"SELECT {CROPS} FROM saved", *ALL_RUN),
+        "stream_late_rows": _with(
+            """SELECT CASE WHEN frame_key % 5 = 0 AND fast > 0 THEN 'expired' ELSE 'complete' END AS status,
+                 count(*) AS frames, CAST(sum(CASE WHEN frame_key % 5 = 0 THEN n - fast ELSE n END) AS BIGINT) AS detections,
+                 CAST(sum(regs) AS BIGINT) AS regions FROM sized GROUP BY 1
+               UNION ALL SELECT 'late', count(*), CAST(sum(yolos) AS BIGINT), CAST(0 AS BIGINT) FROM sized WHERE frame_key % 5 = 1 AND yolos > 0
+               UNION ALL SELECT 'dropped', CAST(0 AS BIGINT), CAST(sum(fast) AS BIGINT), CAST(0 AS BIGINT) FROM sized WHERE frame_key % 5 = 0""",
+            FRAMES, RAW, DET, REG,
+            """sized AS (SELECT f.frame_key, coalesce(n, 0) AS n, coalesce(fast, 0) AS fast, coalesce(yolos, 0) AS yolos, coalesce(regs, 0) AS regs
+               FROM frames f LEFT JOIN (SELECT frame_key, count(*) AS n, count(*) FILTER (WHERE model_source = 'fasterrcnn') AS fast,
+                 count(*) FILTER (WHERE model_source = 'yolo') AS yolos FROM det GROUP BY 1) d ON f.frame_key = d.frame_key
+               LEFT JOIN (SELECT frame_key, count(*) AS regs FROM reg GROUP BY 1) r ON f.frame_key = r.frame_key)""",
+        ),
     }
+    as_batch = ("two_pass", "text_gate", "best_crops", "frame_scan")
+    return found | {f"stream_{name}": found[name] for name in as_batch} | {"stream_manifest": found["crop_manifest"]}
 
 
 def _ocr(rows: str) -> str:

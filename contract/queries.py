@@ -21,7 +21,7 @@ from reelsift.params import MODELS, Params
 from reelsift.plans.curate import crop_subjects, curate, two_pass
 from reelsift.session import scratch_path
 from reelsift.sources import crop_sink, frames, manifest
-from reelsift.streaming import curate_stream
+from reelsift.streaming import curate_stream, long_rows, sinks
 
 ONE = Params(interval=1)
 ALL = replace(ONE, ensemble=True)
@@ -374,10 +374,10 @@ def video_stats_standard(t: Tables) -> DataFrame:
 
 @query
 def overall_stats(t: Tables) -> DataFrame:
-    """A run stopped before the last videos, with running times standing in for processing times."""
+    """With the running time of each video standing in for the time its processing took."""
     elapsed = frames.video_info(t.videos).withColumnRenamed("duration", "processing_time")
     done = curate(t.frames, t.det, t.regions, ONE).outcomes
-    processed = stats.video_stats(done, t.videos.filter("video_id < 35"), ONE, elapsed)
+    processed = stats.video_stats(done, t.videos, ONE, elapsed)
     overall = stats.overall_stats(processed, t.videos)
     return overall.withColumn("total_time", F.round("total_time", 6))
 
@@ -443,3 +443,118 @@ def stream_stats(t: Tables) -> DataFrame:
     checkpoint = scratch_path(t.spark, "stream-stats-state")
     curate_stream.stream_stats(t.nested_stream(), path, checkpoint, ONE).awaitTermination()
     return curate_stream.read_stats(t.spark.read.parquet(path))
+
+
+def _places(t: Tables, name: str) -> tuple[str, str, str]:
+    """Fresh folders: input, output and checkpoint."""
+    return tuple(scratch_path(t.spark, f"{name}-{part}") for part in ("in", "out", "state"))
+
+
+def _stream(t: Tables, df: DataFrame, path: str, **options) -> DataFrame:
+    return t.spark.readStream.schema(df.schema).options(**options).parquet(path)
+
+
+LONG_AGO, FAR_AHEAD = "1000 days", 10**9  # delay and seconds: only a row far ahead ends the wait for a frame
+
+
+@query
+def stream_long_rows(t: Tables) -> DataFrame:
+    """Single rows, one source after the other: frames are complete when the last source has come."""
+    source, out, state = _places(t, "long-rows")
+    rows = t.long_rows()
+    for arriving in ("yolo", "detr", "regions", "fasterrcnn"):
+        rows.filter(F.col("source") == arriving).write.mode("append").parquet(source)
+        with long_rows.state_store(t.spark):
+            whole = long_rows.gather_frames(_stream(t, rows, source), ALL, delay=LONG_AGO)
+            kept = whole.filter(F.col("status") != long_rows.LATE).drop("status")
+            curate_stream.stream_crops(kept, out, state, ALL).awaitTermination()
+    return t.spark.read.parquet(out).select(CROPS)
+
+
+@query
+def stream_late_rows(t: Tables) -> DataFrame:
+    """What becomes of frames and rows when every fifth frame lacks a model's rows until it is too late,
+    and other rows come twice."""
+    source, out, state = _places(t, "late-rows")
+    rows = t.long_rows()
+    withheld = (F.col("frame_key") % 5 == 0) & (F.col("source") == "fasterrcnn") & F.col("n_rows").isNull()
+    again = (F.col("frame_key") % 5 == 1) & (F.col("source") == "yolo") & F.col("n_rows").isNull()
+    ahead = rows.limit(1).withColumns({"event_time": F.timestamp_seconds(F.lit(FAR_AHEAD)), "frame_key": F.lit(-1).cast("long")})
+    dropped = 0
+    for arriving in (rows.filter(~withheld), rows.filter(again), ahead, rows.filter(withheld)):
+        arriving.write.mode("append").parquet(source)
+        with long_rows.state_store(t.spark):
+            whole = long_rows.gather_frames(_stream(t, rows, source), ALL, delay=LONG_AGO)
+            run = whole.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            run = run.trigger(availableNow=True).start()
+            run.awaitTermination()
+        dropped += long_rows.late_rows(run)
+    by_status = t.spark.read.parquet(out).groupBy("status").agg(
+        F.count("*").alias("frames"), F.sum(F.size("detections")).alias("detections"), F.sum(F.size("regions")).alias("regions")
+    )
+    return by_status.unionByName(t.spark.createDataFrame([("dropped", 0, dropped, 0)], by_status.schema))
+
+
+@query
+def stream_two_pass(t: Tables) -> DataFrame:
+    """The quick look comes first, all models' detections in a second run."""
+    (quick_in, out, state), (full_in, _, _) = _places(t, "two-pass"), _places(t, "two-pass-full")
+    full = t.nested.withColumn("event_time", t.event_time)
+    quick = full.withColumn("detections", F.filter("detections", lambda d: d["model_source"] == MODELS[0]))
+    full.limit(0).write.parquet(full_in)
+    for df, path in ((quick, quick_in), (full, full_in)):
+        df.write.mode("append").parquet(path)
+        streams = _stream(t, quick, quick_in), _stream(t, full, full_in)
+        sinks.stream_two_pass(*streams, out, state, ALL, delay=LONG_AGO).awaitTermination()
+    return t.spark.read.parquet(out).drop("batch")
+
+
+@query
+def stream_manifest(t: Tables) -> DataFrame:
+    _, out, state = _places(t, "manifest")
+    sinks.stream_manifest(t.nested_stream(maxFilesPerTrigger=4), t.videos, out, state, ONE).awaitTermination()
+    return sinks.read_manifest(t.spark, out)
+
+
+@query
+def stream_resume(t: Tables) -> DataFrame:
+    """Two runs on one checkpoint, with frames added between them."""
+    source, out, state = _places(t, "resume")
+    for half in range(2):
+        t.nested.filter(F.col("frame_key") % 2 == half).write.mode("append").parquet(source)
+        curate_stream.stream_crops(_stream(t, t.nested, source), out, state, ALL).awaitTermination()
+    return t.spark.read.parquet(out).select(CROPS)
+
+
+@query
+def stream_best_crops(t: Tables) -> DataFrame:
+    _, out, state = _places(t, "best")
+    sinks.stream_best_crops(t.nested_stream(maxFilesPerTrigger=3), out, state, 5, ONE).awaitTermination()
+    return sinks.read_best_crops(t.spark, out).select("video_id", "category", "place", "frame_no", "quality")
+
+
+@query
+def stream_text_gate(t: Tables) -> DataFrame:
+    (frames_in, out, state), (regions_in, _, _) = _places(t, "text-gate"), _places(t, "text-gate-regions")
+    ahead = {"event_time": F.timestamp_seconds(F.lit(FAR_AHEAD)), "frame_key": F.lit(-1).cast("long")}
+    streams = []
+    for table, path in ((t.frames, frames_in), (t.regions, regions_in)):
+        timed = table.withColumn("event_time", t.event_time)
+        timed.unionByName(timed.limit(1).withColumns(ahead)).write.parquet(path)
+        streams.append(_stream(t, timed, path))
+    kept = sinks.stream_text_gate(*streams, delay="1 hour").select(*t.frames.columns)
+    run = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    run.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query
+def stream_frame_scan(t: Tables) -> DataFrame:
+    """Frames in three loads, the earlier ones first."""
+    source, out, state = _places(t, "scan")
+    positions = t.positions()
+    last = positions.agg(F.max("frame_key")).first()[0]
+    for load in range(3):
+        positions.filter(F.floor(F.col("frame_key") * 3 / (last + 1)) == load).write.mode("append").parquet(source)
+        sinks.stream_frame_scan(_stream(t, positions, source), F.col("frame_key"), out, state).awaitTermination()
+    return sinks.read_frames_scanned(t.spark, out)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract import toys
@@ -16,8 +16,10 @@ from reelsift import schemas
 from reelsift.operators import images, voting
 from reelsift.operators.detections import det_normalise
 from reelsift.operators.skew import number_within
+from reelsift.params import MODELS
 from reelsift.session import materialise, scratch_path
 from reelsift.sources.frames import frame_scan
+from reelsift.streaming import long_rows
 
 # (l_orderkey, l_linenumber) repeats in the given data, hence the long order.
 LINE_ORDER = (
@@ -164,16 +166,32 @@ class Tables:
             arrays(self.regions, "regions", "regions"), "frame_key", "left"
         )
         path = scratch_path(self.spark, "nested")
-        rows.select(*schemas.NESTED.names).write.parquet(path)
+        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.select(*schemas.NESTED.names).repartition(files, "frame_key").write.parquet(path)
         return path
 
     @property
     def nested(self) -> DataFrame:
         return self.spark.read.schema(schemas.NESTED).parquet(self.nested_path)
 
-    def nested_stream(self) -> DataFrame:
+    def nested_stream(self, **options) -> DataFrame:
         """The nested frames as a stream of files."""
-        return self.spark.readStream.schema(schemas.NESTED).parquet(self.nested_path)
+        return self.spark.readStream.schema(schemas.NESTED).options(**options).parquet(self.nested_path)
+
+    @property
+    def event_time(self) -> Column:
+        return F.timestamp_seconds(F.col("frame_no"))
+
+    def long_rows(self) -> DataFrame:
+        """Detections, regions and what each source reports of each frame, as single rows with a time."""
+        sources = F.array(*map(F.lit, (*MODELS, long_rows.REGIONS)))
+        every = self.frames.select(*schemas.FRAME_COLUMNS, F.explode(sources).alias("source"))
+        found = self.det.select("frame_key", F.col("model_source").alias("source"))
+        found = found.unionByName(self.regions.select("frame_key", F.lit(long_rows.REGIONS).alias("source")))
+        counts = found.groupBy("frame_key", "source").agg(F.count("*").cast("int").alias("n_rows"))
+        reports = every.join(counts, ["frame_key", "source"], "left").fillna(0, ["n_rows"])
+        timed = (df.withColumn("event_time", self.event_time) for df in (reports, self.det, self.regions))
+        return long_rows.long_rows(*timed)
 
     @cached_property
     def group_limit(self) -> int | None:

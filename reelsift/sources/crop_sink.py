@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ def crop_manifest(crops: DataFrame, videos: DataFrame, params: Params = Params()
     )
 
 
-def write_crops(manifest: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_crops(
+    manifest: DataFrame, path: str, mode: str = "overwrite", keys: Sequence[str] = ("run_name", "category_dir")
+) -> None:
     """Write by run and category; ``overwrite`` replaces the runs written and leaves other runs alone.
 
     The rebalance hint gathers the rows of a folder in few files and lets adaptive execution split
@@ -47,6 +51,6 @@ def write_crops(manifest: DataFrame, path: str, mode: str = "overwrite") -> None
         manifest.hint("rebalance", F.col("run_name"), F.col("category_dir"))
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_name", "category_dir")
+        .partitionBy(*keys)
         .parquet(path)
     )
