@@ -81,29 +81,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAT = r"""
-WITH given AS (
+WITH turns AS (
   SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown'
       ELSE regexp_replace(trim(role), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') END AS role,
-    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS text,
-    CAST(floor(turn / 64) AS BIGINT) AS band FROM conversations),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, band ORDER BY turn NULLS LAST, role, text) - 1 AS pos FROM given),
-cuts AS (SELECT *, pos // 64 AS cut FROM placed),
-speakers AS (SELECT DISTINCT conv_id, band, cut, role AS speaker FROM cuts WHERE role <> 'system'),
+    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS text FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS pos FROM turns),
+participants AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
 views AS (
-  SELECT s.speaker, c.*, CASE WHEN role = speaker THEN '1' ELSE '0' END AS own,
+  SELECT p.speaker, t.*, CASE WHEN role = speaker THEN '1' ELSE '0' END AS own,
     '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role
       ELSE 'user name=' || role END || chr(10) AS head
-  FROM cuts c JOIN speakers s
-    ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.band IS NOT DISTINCT FROM s.band AND c.cut = s.cut),
+  FROM placed t JOIN participants p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 ends AS (
   SELECT *, CAST(sum(length(head) + length(text) + 11) OVER (
-    PARTITION BY conv_id, band, cut, speaker ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM views)
-SELECT conv_id, coalesce(CAST(band AS VARCHAR), 'x') || '-' || CAST(cut AS VARCHAR) AS part, speaker,
+    PARTITION BY conv_id, speaker ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM views)
+SELECT conv_id, 0 AS part, speaker,
   count(*) AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text,
   string_agg(own, '' ORDER BY pos) AS mask,
   string_agg((stop - 11 - length(text)) || ':' || stop, ' ' ORDER BY pos) FILTER (WHERE own = '1') AS spans
-FROM ends GROUP BY conv_id, band, cut, speaker
+FROM ends GROUP BY conv_id, speaker
 """
 
 
