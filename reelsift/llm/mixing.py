@@ -226,9 +226,9 @@ def draws(
 ) -> DataFrame:
     """What the mix takes of each document, one row per stretch of words.
 
-    ``doc_id, row, size, source, source_size, target`` and, null for documents that give nothing,
+    ``doc_id, row, of, size, source, source_size, target`` and, null for documents that give nothing,
     ``shard, place`` (order within the shard), ``epoch``, ``first_word`` and ``words``. ``row``
-    tells apart rows that repeat. The words of a source add up to its target, rounded; no document is
+    tells apart rows that repeat, and ``of`` is alike for rows with one id, source and text. The words of a source add up to its target, rounded; no document is
     taken more than ``MOST_REPEATS`` times. All is a function of the rows and ``seed``.
 
     Null and empty texts have size 0 and give nothing; null is a source of its own. Null ids take part.
@@ -236,7 +236,7 @@ def draws(
     """
     sizes = materialise(
         packed(docs, (), _id=id_col, _source=source_col, _text=text_col).select(
-            "_id", "_source", word_count(F.col("_text")).alias("size")
+            "_id", "_source", word_count(F.col("_text")).alias("size"), _content_key().alias("of")
         )
     )
     plan = _drawing_plan(sizes, block_words, shards, seed)
@@ -244,9 +244,9 @@ def draws(
     rows = sizes.join(small, F.col("_source").eqNullSafe(F.col("source"))).withColumn(
         "slice", F.pmod(F.xxhash64(F.lit(seed), "_id", "size"), F.col("slices"))
     )
-    in_slice = Window.partitionBy("nth", "slice").orderBy("_id", "size")
+    in_slice = Window.partitionBy("nth", "slice").orderBy("_id", "size", "of")
     so_far = in_slice.rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.select("_id", "size", "nth", "slice").withColumns(
+    local = rows.select("_id", "of", "size", "nth", "slice").withColumns(
         {"start": F.sum("size").over(so_far) - F.col("size"), "row": F.row_number().over(in_slice)}
     )
     earlier = Window.partitionBy("nth").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -287,7 +287,7 @@ def draws(
         return F.when(F.col("_some"), c)
 
     return some.select(
-        F.col("_id").alias("doc_id"), F.struct("slice", "row").alias("row"), "size", "source", "source_size", "target",
+        F.col("_id").alias("doc_id"), F.struct("slice", "row").alias("row"), "of", "size", "source", "source_size", "target",
         where_taken(F.size(F.filter("ends", lambda e: e <= F.col("_place")))).alias("shard"),
         where_taken(F.xxhash64(F.lit(seed), "nth", "_place")).alias("place"),
         where_taken(F.col("epoch")).alias("epoch"),
@@ -296,29 +296,83 @@ def draws(
     )
 
 
+def _content_key() -> Column:
+    """Equal for rows with one id, source and text: 128 bits."""
+    parts = (p for c in ("_id", "_source", "_text") for p in (F.col(c).isNull().cast("string"), F.col(c).cast("string")))
+    return F.md5(F.concat_ws("\n", *parts))
+
+
+def _by_row(found: DataFrame) -> DataFrame:
+    """A row for each row of the documents, with what it gives as ``pieces``, in order.
+
+    A document has a piece for each of its blocks and epochs.
+    """
+    piece = F.struct("shard", "place", "epoch", "first_word", "words")
+    return found.groupBy("doc_id", "row", "of", "size", "source", "source_size", "target").agg(
+        F.coalesce(F.sum("words"), F.lit(0)).alias("taken"),
+        F.array_sort(F.collect_list(F.when(F.col("words").isNotNull(), piece))).alias("pieces"),
+    )
+
+
 def taken_words(docs: DataFrame, **options: object) -> DataFrame:
-    """``doc_id, size, source, source_size, target, taken``, a row for each row of ``docs``."""
-    found = draws(docs, **options)
-    return (
-        found.groupBy("doc_id", "row", "size", "source", "source_size", "target")
-        .agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"))
-        .drop("row")
+    """``doc_id, size, source, source_size, target, taken, shards, places``, a row for each row of ``docs``.
+
+    ``shards`` has ``shard:words`` for each shard that gets words, and ``places`` is a digest of where all of the
+    row's pieces lie: shard, place in the shard, epoch, first word and words.
+    """
+    pieces = F.col("pieces")
+    shards = F.array_sort(F.array_distinct(F.transform(pieces, lambda p: p["shard"])))
+
+    def words_of(shard: Column) -> Column:
+        own = F.filter(pieces, lambda p: p["shard"] == shard)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a + p["words"])
+
+    line = lambda p: F.concat_ws(",", *(p[c].cast("string") for c in ("shard", "place", "epoch", "first_word", "words")))
+    return _by_row(draws(docs, **options)).select(
+        "doc_id", "size", "source", "source_size", "target", "taken",
+        F.array_join(F.transform(shards, lambda s: F.concat_ws(":", s.cast("string"), words_of(s).cast("string"))), " ").alias("shards"),
+        F.sha2(F.array_join(F.transform(pieces, line), "\n"), 256).alias("places"),
     )
 
 
-def write_mix(docs: DataFrame, path: str, text_col: str = "text", **options: object) -> None:
-    """The mix as text, one folder of Parquet per shard, shuffled within the shard.
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object
+) -> DataFrame:
+    """The mix as text: a row for each piece, with the words drawn as its text.
+
+    The columns of ``docs`` (of one of the rows where id, source and text are equal) and ``size, source_size,
+    target, taken`` of the row, ``words`` of the piece, and its ``shard``, ``place`` and ``epoch``. A piece is a
+    stretch of a document within a block; it is given once for each epoch that takes it. Reading a shard by
+    ``place``, ``doc_id``, ``first_word`` gives its shuffled order.
 
-    Ids must be unique and not null here.
+    Each row of ``docs`` gives its own pieces, rows that share an id too.
     """
-    found = draws(docs, text_col=text_col, **options).filter("words > 0")
-    pieces = found.join(packed(docs, (), _id="doc_id", _text=text_col), F.col("doc_id") == F.col("_id"))
+    outputs = ("size", "source_size", "target", "taken", "words", "shard", "place", "epoch", "first_word")
+    found = draws(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("words > 0")
+    by_row = materialise(_by_row(found).select("of", "size", "source_size", "target", "taken", "pieces"))
+    rows = packed(docs, outputs, _id=id_col, _source=source_col, _text=text_col).withColumn("of", _content_key())
+    repeated = materialise(by_row.groupBy("of").count().filter("count > 1").select("of"))
+    if not repeated.isEmpty():
+        repeated = broadcast_if_small(repeated)
+        once = rows.join(repeated, "of", "left_semi").groupBy("of").agg(F.first("_row").alias("_row"), F.first("_text").alias("_text"))
+        rows = rows.join(repeated, "of", "left_anti").select("of", "_row", "_text").unionByName(once.select("of", "_row", "_text"))
+
+    def cut(listed: Column) -> Column:
+        text = lambda p: F.array_join(F.slice(listed, p["first_word"].cast("int") + 1, p["words"].cast("int")), " ")
+        return F.transform("pieces", lambda p: F.struct(*(p[c].alias(c) for c in ("words", "shard", "place", "epoch", "first_word")), text(p).alias("_piece")))
+
     listed = F.array_remove(F.split("_text", BLANK_RUN), "")
-    text = F.array_join(F.slice(listed, F.col("first_word").cast("int") + 1, F.col("words").cast("int")), " ")
+    each = rows.join(by_row.hint("merge"), "of").withColumn("p", F.explode(let(listed, cut)))
+    given = [F.col("p._piece").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in rows.schema["_row"].dataType.names]
+    return each.select(*given, "size", "source_size", "target", "taken", "p.words", "p.shard", "p.place", "p.epoch", "p.first_word")
+
+
+def write_mix(docs: DataFrame, path: str, **options: object) -> None:
+    """``mixed``, one folder of Parquet per shard, in the shard's shuffled order."""
     (
-        pieces.select("shard", "place", "first_word", "doc_id", "epoch", text.alias("text"))
+        mixed(docs, **options)
         .repartition("shard", F.pmod("place", F.lit(16)))
-        .sortWithinPartitions("shard", "place", "doc_id", "first_word")
+        .sortWithinPartitions("shard", "place", options.get("id_col", "doc_id"), "first_word")
         .write.partitionBy("shard")
         .parquet(path)
     )

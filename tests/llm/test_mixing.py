@@ -79,6 +79,64 @@ def test_draws_are_disjoint_and_shards_even(spark):
     assert sum(sizes) == len(set().union(*blocks.values()))
 
 
+def test_shards_get_what_the_tree_gives_them(spark, monkeypatch):
+    rows = [(k, t, "en", f"s{k % 4}", 0) for k, t in enumerate(sentences(300, size=90))]
+    leaves, tree = [], mixing.splitting_tree
+
+    def kept(*args):
+        done = tree(*args)
+        leaves.extend(done.collect())
+        return done
+
+    monkeypatch.setattr(mixing, "splitting_tree", kept)
+    got = mixing.draws(table(spark, rows), block_words=16, shards=6).filter("words > 0").collect()
+    quota = {(r["shard"], s): q for r in leaves for s, q in enumerate(r["quotas"]) if q}
+    blocks = defaultdict(set)
+    for r in got:
+        blocks[r["shard"], int(r["source"][1])].add(r["place"])
+    assert {k: len(v) for k, v in blocks.items()} == quota
+    shares = {k: q / sum(n for (s, _), n in quota.items() if s == k[0]) for k, q in quota.items()}
+    assert len({round(v, 3) for k, v in shares.items() if k[1] == 0}) > 1  # drawn, not dealt out evenly
+
+
+def test_rows_tell_their_shards_and_places(spark):
+    df = table(spark, [(k // 2, t, "en", f"s{k % 3}", 0) for k, t in enumerate(sentences(60, size=90))])
+    pieces = defaultdict(list)
+    for r in mixing.draws(df, block_words=16, shards=4).filter("words > 0").collect():
+        pieces[r["doc_id"], r["source"], r["of"]].append((r["shard"], r["words"]))
+    want = Counter()
+    for (doc, source, _), own in pieces.items():
+        by_shard = Counter()
+        for shard, n in own:
+            by_shard[shard] += n
+        want[doc, source, tuple(sorted(by_shard.items()))] += 1
+    got = mixing.taken_words(df, block_words=16, shards=4).filter("taken > 0").collect()
+    assert Counter((r["doc_id"], r["source"], tuple(tuple(map(int, s.split(":"))) for s in r["shards"].split())) for r in got) == want
+    other = mixing.taken_words(df, block_words=16, shards=4, seed=12).filter("taken > 0").collect()
+    assert {r["places"] for r in got} != {r["places"] for r in other}
+
+
+def test_mix_gives_the_words_drawn(spark):
+    """Every id twice, rows that repeat throughout, and no id: each source gets its target in words."""
+    texts = sentences(150, size=120)
+    rows = [(k // 2, t, "en", ("a", "b", "b", "c", None)[k % 5], 0) for k, t in enumerate(texts)]
+    rows += [rows[7]] * 3 + [(None, texts[5], "en", "a", 0)] * 2 + [(k, t, "en", "d", 0) for k, t in enumerate(AWKWARD)]
+    df = table(spark, rows).withColumns({"shard": F.lit("mine"), "pieces": F.lit(1), "of": F.lit(2)})
+    got = mixing.mixed(df, block_words=50, shards=3).collect()
+    sizes, given = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(words_of(r[1]))
+    for r in got:
+        assert len(words_of(r["text"])) == r["words"] and 0 <= r["shard"] < 3 and r["of"] == 2
+        given[r["source"]] += r["words"]
+    want = targets(sizes)
+    assert all(abs(given[s] - want[s]) <= 0.5 + 1e-6 for s in sizes)
+    texts_of = defaultdict(list)
+    for r in rows:
+        texts_of[r[0], r[3]].append(" ".join(words_of(r[1])))
+    assert all(any(r["text"] in t for t in texts_of[r["doc_id"], r["source"]]) for r in got)
+
+
 def test_permutation_and_tree(spark):
     n = spark.range(500).select("id", F.lit(500).cast("long").alias("n"))
     moved = [r[0] for r in n.select(mixing.permuted(F.col("id"), F.col("n"), F.lit(3), F.lit(1))).collect()]

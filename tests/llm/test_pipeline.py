@@ -5,10 +5,12 @@ from collections import Counter
 import duckdb
 import pytest
 from helpers import AWKWARD, docs, sentences
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from reelsift.llm import queries
+from reelsift.llm.common import words
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
@@ -23,7 +25,7 @@ def duck():
 
 
 def test_all_are_registered():
-    names = {f"op{n}_" for n in range(1, 11)}
+    names = {f"op{n}_" for n in range(1, 14)}
     assert {q.split("_")[0] + "_" for q in queries.queries()} == names
     assert "pipeline" in entry.queries() and set(queries.queries()) < set(entry.queries())
 
@@ -40,9 +42,10 @@ def test_sql(name, spark, duck):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_queries_without_sql_give_a_row_for_each_document(name, spark):
     got = queries.queries()[name](spark, SF_DIR)
-    ids = [r[0] for r in got.select("doc_id").collect()]
+    table, key = ("pages", "page_id") if "page_id" in got.columns else ("documents", "doc_id")
+    ids = [r[0] for r in got.select(key).collect()]
     if not name.startswith("op5"):
-        want = [r[0] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect()]
+        want = [r[0] for r in spark.read.parquet(f"{SF_DIR}/{table}.parquet").select(key).collect()]
         assert sorted(ids) == sorted(want)
 
 
@@ -72,6 +75,9 @@ def test_pipeline(spark, tmp_path):
     assert copy in cleaned and copy not in single and 3 in single
     assert leak in single and leak not in unleaked and len(single - unleaked) == 1
     assert mixed <= unleaked and now.filter("taken < 1 OR taken > 3 * size").count() == 0
+    given_words = {r[0]: r[1] for r in now.groupBy("source").agg(F.sum(F.size(words(F.col("text"))))).collect()}
+    targets = {r[0]: r[1] for r in now.select("source", "target").distinct().collect()}
+    assert all(abs(given_words[s] - targets[s]) <= 0.5 + 1e-6 for s in targets)
     whole = corpus_pipeline.run(spark, folder)
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, now.select(whole.columns).collect()))
 
