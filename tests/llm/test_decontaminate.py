@@ -1,7 +1,10 @@
+import random
+
+import pytest
 from helpers import AWKWARD, docs, sentences
 from pyspark.sql import functions as F
 
-from reelsift.llm.decontaminate import decontaminate, item_windows
+from reelsift.llm.decontaminate import decontaminate, item_classes, item_windows
 
 ITEMS = [
     (1, "A train leaves Boston at 9 and travels 120 km to meet Alice in 3 hours before dinner is served"),
@@ -49,6 +52,59 @@ def test_rejects_inconsistent_slots(spark):
     assert {r["doc_id"]: r["contaminated"] for r in got} == {0: True, 1: False, 2: True}
 
 
+PROBES = {
+    "one value for two things": (
+        "Sam buys 5 red apples in the small shop near the river and later he meets an old friend who sells him 5 ripe pears",
+        "Sam buys 7 red apples in the small shop near the river and later he meets an old friend who sells him 9 ripe pears",
+    ),
+    "lower case": (ITEMS[0][1], ITEMS[0][1].lower()),
+    "upper case, other numbers": (ITEMS[0][1], ITEMS[0][1].upper().replace("120", "340").replace(" 9 ", " 4 ")),
+    "names that begin sentences": (
+        "Tom has 5 apples in a bag. Sarah gives 3 more. Peter eats 2 of them. How many are left?",
+        "Maria has 7 apples in a bag. Julia gives 4 more. Frank eats 3 of them. How many are left?",
+    ),
+    "within a running sentence": (
+        "That is why the 3rd box of 5kg goes to London",
+        "we said That is why the 4th box of 9kg goes to Paris and so on",
+    ),
+    "figures glued to units": (
+        "The parcel of 5kg travels at 10km/h for 3h before it is weighed again",
+        "The parcel of 8 kg travels at 40km/h for 7 h before it is weighed again",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_changed_copies_are_covered(spark, name):
+    item, changed = PROBES[name]
+    clean = sentences(30, size=60)
+    got = decontaminate(docs(spark, [*clean, f"{clean[0]}. {changed} {clean[1]}"]), bench(spark, [(1, item)])).collect()
+    assert [r["doc_id"] for r in got if r["contaminated"]] == [len(clean)]
+    assert max(r["cover"] for r in got) > 0.5
+
+
+def test_items_that_share_a_window(spark):
+    """10,000 items with one passage in common: holding it alone is holding none of them."""
+    common = "please answer the following question with a single word"
+    draw = random.Random(4)
+    items = [(k, f"{common} {' '.join(f'w{draw.randint(0, 400)}' for _ in range(20))}") for k in range(10_000)]
+    texts = [f"{common} {t}" for t in sentences(50, seed=77, size=40)] + [f"some words {items[k][1]} here" for k in (5, 4242)]
+    windows = item_windows(bench(spark, items))
+    _, each = item_classes(windows)
+    assert each.filter(F.col("template").isin(common[:50], common[7:])).select("class").distinct().count() == 10_000
+    assert each.filter("seeks").filter(F.col("template").isin(common[:50], common[7:])).isEmpty()
+    got = {r["doc_id"]: list(r["items"]) for r in decontaminate(docs(spark, texts), bench(spark, items)).collect() if r["contaminated"]}
+    assert set(got) == {50, 51} and 5 in got[50] and 4242 in got[51]
+
+
+def test_items_alike_are_one_class(spark):
+    items = [(k, f"Anna has {k} apples and Berta has {k + 1} pears, how many do they have") for k in range(10, 3000)]
+    classes, each = item_classes(item_windows(bench(spark, items)))
+    assert classes.count() == 1 and len(classes.first()["items"]) == 2990
+    got = decontaminate(docs(spark, ["Well, Carla has 5 apples and Doris has 6 pears, how many do they have then"]), bench(spark, items)).first()
+    assert len(got["items"]) == 2990
+
+
 def test_windows_against_brute_force(spark):
     items = [(k, t) for k, t in enumerate(sentences(40, seed=8, size=30))]
     got = {(r["id"], r["at"], r["template"]) for r in item_windows(bench(spark, items)).collect()}
