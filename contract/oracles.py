@@ -490,6 +490,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_stats": _with(stats_of, *ONE_RUN, TURBO_COUNTS),
         "stream_long_rows": _with(f"SELECT {CROPS} FROM saved", *ALL_RUN),
         "stream_resume": _with(f"SELECT {CROPS} FROM saved", *ALL_RUN),
+        "stream_rates": _with("SELECT count(*) AS processed_frames, true AS measured FROM frames", FRAMES),
         "stream_late_rows": _with(
             """SELECT CASE WHEN frame_key % 5 = 0 AND fast > 0 THEN 'expired' ELSE 'complete' END AS status,
                  count(*) AS frames, CAST(sum(CASE WHEN frame_key % 5 = 0 THEN n - fast ELSE n END) AS BIGINT) AS detections,

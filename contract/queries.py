@@ -21,7 +21,7 @@ from reelsift.params import MODELS, Params
 from reelsift.plans.curate import crop_subjects, curate, two_pass
 from reelsift.session import scratch_path
 from reelsift.sources import crop_sink, frames, manifest
-from reelsift.streaming import curate_stream, long_rows, sinks
+from reelsift.streaming import curate_stream, long_rows, rates, sinks
 
 ONE = Params(interval=1)
 ALL = replace(ONE, ensemble=True)
@@ -558,3 +558,18 @@ def stream_frame_scan(t: Tables) -> DataFrame:
         positions.filter(F.floor(F.col("frame_key") * 3 / (last + 1)) == load).write.mode("append").parquet(source)
         sinks.stream_frame_scan(_stream(t, positions, source), F.col("frame_key"), out, state).awaitTermination()
     return sinks.read_frames_scanned(t.spark, out)
+
+
+@query
+def stream_rates(t: Tables) -> DataFrame:
+    """Frames that the batches of a run had, and whether each has its time and rate."""
+    kept, out, state = _places(t, "rates")
+    listener = rates.RateListener(t.spark, kept)
+    t.spark.streams.addListener(listener)
+    try:
+        frames = rates.observed(t.nested_stream(maxFilesPerTrigger=3))
+        listener.finish(curate_stream.stream_crops(frames, out, state, ONE))
+    finally:
+        t.spark.streams.removeListener(listener)
+    right = (F.col("seconds") > 0) & (F.col("processing_fps") == F.col("processed_frames") / F.col("seconds"))
+    return rates.read_rates(t.spark, kept).agg(F.sum("processed_frames").alias("processed_frames"), F.bool_and(right).alias("measured"))

@@ -13,12 +13,16 @@ WINDOW_ROWS = 1_000_000  # rows of one group a single task may sort (it can spil
 SMALL_ROWS = 100_000  # rows of a narrow table that may be sent to every executor
 
 
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Mark a cheap-to-count table for broadcast when its counted size allows it.
 
     Beyond that Spark joins by shuffle, where adaptive execution splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def split_large_groups(

@@ -31,6 +31,7 @@ from reelsift.session import materialise
 FOLD_ROWS = 512  # detections of one frame and class that are folded within a row
 PAIR_ROWS = 1024  # ... that are compared without a spatial grid
 COMPONENT_ROWS = 1_000_000  # detections connected by matches that one task may visit one by one
+COMPONENT_LINKS = 2_000_000  # ... and matches between their distinct boxes
 
 _GROUP = ["frame_key", "class_id"]
 _BOX = [*_GROUP, *schemas.BOX_COLUMNS]
@@ -211,7 +212,8 @@ def _group_large(det: DataFrame, threshold: float, component_rows: int | None =
     group never leaves a connected component of these matches. A box without any other is done: its
     copies form one group. The components of a frame are independent, and a task visits the
     detections of one of them in order, each in constant time unless it brings an earlier founder.
-    Only components of more than ``component_rows`` detections are left to ``_group_by_rounds``.
+    Only components of more than ``component_rows`` detections or ``COMPONENT_LINKS`` matches are left to
+    ``_group_by_rounds``.
     """
     component_rows = COMPONENT_ROWS if component_rows is None else component_rows
     wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -229,17 +231,17 @@ def _group_large(det: DataFrame, threshold: float, component_rows: int | None =
     links = materialise(meeting.filter(match).select("box", F.col("o_box").alias("to")))
     found = materialise(components(links.select(F.col("box").alias("a"), F.col("to").alias("b"))))
     placed = boxes.join(found.withColumnRenamed("node", "box"), "box", "left")
-    sizes = placed.filter("root IS NOT NULL").groupBy("root").agg(F.sum("copies").alias("_rows"))
-    giant = materialise(sizes.filter(F.col("_rows") > component_rows).select("root"))
+    linked = links.join(found.withColumnRenamed("node", "box"), "box")
+    too_many = lambda df, size, limit: df.groupBy("root").agg(size.alias("_size")).filter(F.col("_size") > limit)
+    by_rows = too_many(placed.filter("root IS NOT NULL"), F.sum("copies"), component_rows)
+    giant = materialise(by_rows.union(too_many(linked, F.count("*"), COMPONENT_LINKS)).select("root").distinct())
     placed = materialise(placed.join(broadcast_if_small(giant.withColumn("giant", F.lit(True))), "root", "left"))
 
     at = broadcast_if_small(placed.select(*_BOX, "box", "first", "root", "giant"))
     rows = det.join(at, _BOX)
     single = rows.filter("root IS NULL").withColumn("gid", F.col("first")).select(*alone.columns)
     joined = rows.filter("root IS NOT NULL AND giant IS NULL").select(*det.columns, "box", "root")
-    edges = links.join(found.withColumnRenamed("node", "box"), "box").join(
-        broadcast_if_small(giant), "root", "left_anti"
-    )
+    edges = linked.join(broadcast_if_small(giant), "root", "left_anti")
     output = T.StructType([*det.schema.fields, T.StructField("gid", det.schema["det_seq"].dataType)])
     visited = joined.groupBy("root").cogroup(edges.groupBy("root")).applyInPandas(_visit, output)
     done = alone.unionByName(single).unionByName(visited.select(*alone.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsift import schemas
-from reelsift.operators.skew import WINDOW_ROWS, broadcast_if_small, number_within
+from reelsift.operators.skew import WINDOW_ROWS, broadcast_if_small, is_small, number_within
 from reelsift.params import Params
 
 
@@ -59,14 +59,28 @@ def frame_lookup(frames: DataFrame, requests: DataFrame) -> DataFrame:
     """Frames by 0-based ``frame_index``; the frame's columns are null where there is none.
 
     ``requests`` has ``video_id, frame_index``; index k is the frame numbered k + 1. Few requests go to
-    the frames, so these stay in place; only the frames found meet the requests again.
+    the frames, so these stay in place; only the frames found meet the requests again. For many, frames
+    of videos that are asked for are read alone where the table is partitioned by video (``write_frames``),
+    and Spark puts a Bloom filter of the requests before their shuffle if that is worth it.
     """
     key = ["video_id", "frame_no"]
     wanted = requests.withColumn("frame_no", F.col("frame_index") + 1)
-    found = frames.join(broadcast_if_small(wanted.select(*key).distinct()), key, "left_semi")
+    sought = wanted.filter(F.col("frame_index") >= 0).select(*key)
+    keys = sought.distinct()
+    if is_small(keys):
+        keys = F.broadcast(keys)
+    else:
+        keys = sought  # a scan and a filter, from which Spark can make its own filter
+        frames = frames.join(broadcast_if_small(sought.select("video_id").distinct()), "video_id", "left_semi")
+    found = frames.join(keys, key, "left_semi")
     return wanted.join(found, key, "left")
 
 
+def write_frames(frames: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write a frame table partitioned by video."""
+    frames.hint("rebalance", F.col("video_id")).write.mode(mode).partitionBy("video_id").parquet(path)
+
+
 def frame_at(frames: DataFrame, video_id: int, frame_index: int) -> DataFrame:
     """One frame by 0-based index, as a filter the Parquet scan takes over; empty if absent."""
     return frames.filter((F.col("video_id") == video_id) & (F.col("frame_no") == frame_index + 1))

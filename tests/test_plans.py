@@ -55,6 +55,24 @@ def test_small_sides_are_sent_and_large_ones_stay(spark, no_broadcast):
     assert "BroadcastHashJoin" in progress and "SortMergeJoin" not in progress
 
 
+def test_many_requests_read_their_videos_and_filter_frames(spark, no_broadcast, tmp_path):
+    t = tables(spark, SF_DIR)
+    frames.write_frames(t.frames, str(tmp_path / "frames"))
+    stored = spark.read.parquet(str(tmp_path / "frames"))
+    wanted = spark.range(200_000).selectExpr("int(id % 3) AS video_id", "int(id - 5) AS frame_index")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    try:
+        found = frames.frame_lookup(stored, wanted)
+        text = plan(found)
+        assert "dynamicpruning" in text and "might_contain" in text
+        got = {(r.video_id, r.frame_no): r.frame_key for r in found.filter("frame_key IS NOT NULL").collect()}
+    finally:
+        spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
+    asked = {(i % 3, i - 4) for i in range(200_000)}
+    assert got == {(r.video_id, r.frame_no): r.frame_key for r in t.frames.collect() if (r.video_id, r.frame_no) in asked}
+    assert found.count() == 200_000
+
+
 def test_pixels_stay_in_their_buckets(spark, no_broadcast):
     t = tables(spark, SF_DIR)
     subjects_of_frames = crop_subjects(t.det, Params(interval=1))

@@ -14,7 +14,7 @@ from reelsift.plans.curate import curate, two_pass
 from reelsift.sources.crop_sink import crop_manifest
 from reelsift.streaming import curate_stream as cs
 from reelsift.streaming import long_rows as lr
-from reelsift.streaming import sinks, store
+from reelsift.streaming import rates, sinks, store
 
 SF_DIR = "/root/testdata/sf0.001"
 ALL = Params(interval=1, ensemble=True)
@@ -226,6 +226,23 @@ def test_store_compacts_rows_by_key(spark, tmp_path):
     assert {tuple(r) for r in store.latest(spark.read.parquet(path), ["k"]).select("k", "v").collect()} == {(7, 70)}
 
 
+def test_rates_go_on_after_a_restart(spark, tmp_path, halves):
+    t, parts = halves
+    kept, listener = str(tmp_path / "rates"), None
+    for k, part in enumerate(parts):
+        stream = rates.observed(arriving(spark, part, tmp_path / "in"))
+        listener = rates.RateListener(spark, kept)
+        spark.streams.addListener(listener)
+        try:
+            listener.finish(cs.stream_crops(stream, str(tmp_path / "out"), str(tmp_path / "state"), ONE))
+        finally:
+            spark.streams.removeListener(listener)
+        got = {r["batch"]: r for r in rates.read_rates(spark, kept).collect()}
+        assert sorted(got) == list(range(k + 1)) and got[k]["processed_frames"] == part.count()
+        assert all(r["processing_fps"] == r["processed_frames"] / r["seconds"] > 0 for r in got.values())
+    assert len({r["query"] for r in got.values()}) == 1
+
+
 # --- two streams -----------------------------------------------------------------------------
 
 

@@ -96,6 +96,15 @@ def test_giant_components_go_by_rounds(spark, monkeypatch):
     assert gids(voting.vote_groups(det(spark, *frames), ALL, 3)) == wanted(*frames)
 
 
+def test_components_of_many_matches_go_by_rounds(spark, monkeypatch):
+    sent, by_rounds = [], voting._group_by_rounds
+    monkeypatch.setattr(voting, "COMPONENT_LINKS", 30)
+    monkeypatch.setattr(voting, "_group_by_rounds", lambda rows, t: sent.append(rows.count()) or by_rounds(rows, t))
+    frames = [crowd(1, 40, size=(30, 40), spread=20, classes=1), crowd(2, 40, copies=0.5), *EXAMPLES.values()]
+    assert gids(voting.vote_groups(det(spark, *frames), ALL, 3)) == wanted(*frames)
+    assert len(sent) == 1 and 0 < sent[0] < sum(map(len, frames))
+
+
 def chain(spark, boxes, rows):
     """``rows`` detections in one frame, copies of boxes each of which matches the one before and after it."""
     rng = random.Random(boxes)
