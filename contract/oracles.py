@@ -490,6 +490,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_stats": _with(stats_of, *ONE_RUN, TURBO_COUNTS),
         "stream_long_rows": _with(f"SELECT {CROPS} FROM saved", *ALL_RUN),
         "stream_resume": _with(f"SELECT {CROPS} FROM saved", *ALL_RUN),
+        "stream_progress": _with(
+            """SELECT f.video_id, max(frame_no) AS frame_no, any_value(total_frames) AS total_frames,
+                 max(frame_no) / any_value(total_frames) * 100e0 AS progress
+               FROM frames f JOIN videos v ON f.video_id = v.video_id GROUP BY 1""",
+            FRAMES,
+        ),
         "stream_rates": _with("SELECT count(*) AS processed_frames, true AS measured FROM frames", FRAMES),
         "stream_late_rows": _with(
             """SELECT CASE WHEN frame_key % 5 = 0 AND fast > 0 THEN 'expired' ELSE 'complete' END AS status,

@@ -573,3 +573,10 @@ def stream_rates(t: Tables) -> DataFrame:
         t.spark.streams.removeListener(listener)
     right = (F.col("seconds") > 0) & (F.col("processing_fps") == F.col("processed_frames") / F.col("seconds"))
     return rates.read_rates(t.spark, kept).agg(F.sum("processed_frames").alias("processed_frames"), F.bool_and(right).alias("measured"))
+
+
+@query
+def stream_progress(t: Tables) -> DataFrame:
+    _, out, state = _places(t, "progress")
+    sinks.stream_progress(t.nested_stream(maxFilesPerTrigger=3), t.videos, out, state, params=ONE).awaitTermination()
+    return sinks.read_progress(t.spark, out)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import replace as changed
 
@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelsift import schemas
+from reelsift.operators.skew import broadcast_if_small
 from reelsift.operators.subjects import best_crops
 from reelsift.operators.text import looks_like_text
 from reelsift.operators.voting import ensemble
 from reelsift.params import Params
 from reelsift.session import exists, remove
 from reelsift.sources.crop_sink import crop_manifest, write_crops
-from reelsift.sources.frames import frame_scan
+from reelsift.sources.frames import frame_sample, frame_scan
 from reelsift.streaming import store
 from reelsift.streaming.curate_stream import curate_nested
 
@@ -142,6 +143,39 @@ def read_frames_scanned(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/frames").drop("batch")
 
 
+# --- progress --------------------------------------------------------------------------------
+
+
+def stream_progress(
+    frames: DataFrame,
+    videos: DataFrame,
+    path: str,
+    checkpoint: str,
+    report: Callable[[DataFrame, int], None] | None = None,
+    params: Params = Params(),
+    **trigger,
+) -> StreamingQuery:
+    """Keep how far each video has come: its furthest sampled frame, in percent of its frames.
+
+    After each batch ``report`` gets the videos that have gone on, as a table, and the batch's number; every
+    ``COMPACT``-th batch has all videos, and one that comes again is reported again. ``read_progress`` reads all videos. State is one row of each.
+    """
+    total = videos.select("video_id", "total_frames")
+    furthest = frame_sample(frames.select("video_id", "frame_no"), params).groupBy("video_id").agg(F.max("frame_no").alias("frame_no"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        share = F.when(F.col("total_frames") > 0, F.col("frame_no") / F.col("total_frames") * F.lit(100.0))
+        store.replace(batch.join(broadcast_if_small(total), "video_id").withColumn("progress", share), path, number, ["video_id"])
+        if report is not None:
+            report(batch.sparkSession.read.parquet(f"{path}/batch={number}"), number)
+
+    return store.each_batch(furthest, keep, checkpoint, "update", **trigger)
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    return store.latest(spark.read.parquet(path), ["video_id"])
+
+
 # --- text and the second pass ----------------------------------------------------------------
 
 

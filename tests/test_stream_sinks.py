@@ -213,6 +213,21 @@ def test_frame_numbers_go_on_and_are_given_once(spark, tmp_path):
     assert same(sinks.read_frames_scanned(spark, str(tmp_path / "out")), t.frames)
 
 
+def test_progress_is_reported_batch_by_batch(spark, tmp_path, halves):
+    t, _ = halves
+    out, told = str(tmp_path / "out"), []
+    report = lambda gone_on, number: told.append((number, {r["video_id"]: r["progress"] for r in gone_on.collect()}))
+    early, late = (t.nested.filter(c) for c in ("frame_no <= 5", "frame_no > 5 AND video_id % 2 = 0"))
+    for part in (early, late):
+        stream = arriving(spark, part, tmp_path / "in")
+        sinks.stream_progress(stream, t.videos, out, str(tmp_path / "state"), report, ONE).awaitTermination()
+    totals = {r["video_id"]: r["total_frames"] for r in t.videos.collect()}
+    assert [n for n, _ in told] == [0, 1]
+    assert told[0][1] == {v: min(5, n) / n * 100 for v, n in totals.items()}
+    assert told[1][1] == {v: 100.0 for v, n in totals.items() if v % 2 == 0 and n > 5}
+    assert {r["video_id"]: r["progress"] for r in sinks.read_progress(spark, out).collect()} == told[0][1] | told[1][1]
+
+
 def test_store_compacts_rows_by_key(spark, tmp_path):
     path = str(tmp_path / "kept")
     at = lambda *rows: spark.createDataFrame(rows, "k int, v int")
