@@ -7,9 +7,11 @@ reports and rows comes out at once; ``nest_rows`` would wait until the watermark
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,3 +148,8 @@ def state_store(spark: SparkSession) -> Iterator[None]:
 def late_rows(query: StreamingQuery) -> int:
     """Rows left out as too late, in the micro-batches still on record."""
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+# The driver starts the processor in a Python process of its own, which does not see files that were added
+# for the executors. So what this module defines travels in full, not by name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,8 +1,11 @@
 """Streams that keep state or tables of their own: equal to batch, also when batches come again."""
 
 import datetime
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +132,14 @@ def test_gathering_goes_on_after_a_batch_is_repeated(spark, tmp_path):
     assert g.run([found(1, "yolo", 2), report(2, "yolo", 0)]) == [(1, "complete", [1, 2], 0), (2, "complete", [], 0)]
 
 
+def test_the_processor_needs_no_files_of_ours(tmp_path):
+    """The driver starts it in a process that does not know where this package lies."""
+    blob = cloudpickle.dumps(lr._Gathering(("yolo",)))
+    code = "import sys, pickle; print(pickle.load(sys.stdin.buffer).sources, 'reelsift' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", code], input=blob, cwd=tmp_path, capture_output=True, check=True)
+    assert done.stdout.decode().split() == ["('yolo',)", "False"]
+
+
 def test_nothing_is_asked_of_regions_without_a_text_gate(spark, tmp_path):
     g = Gathered(spark, tmp_path, Params(interval=1, use_quick_text=False))
     assert g.run([report(1, "yolo", 1), found(1, "yolo", 7)]) == [(1, "complete", [7], 0)]
