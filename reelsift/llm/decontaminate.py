@@ -32,6 +32,9 @@ FEWEST = 5  # template words of an item that can be told from chance
 COVER = 0.3  # share of an item's windows that a document must hold
 FILTER_HASHES = 1 << 23  # of the filter sent to all tasks: 16 MB; more windows only let more through
 
+KNOWN_WORDS = 250_000  # that a Python worker remembers from batch to batch
+SLICE_BYTES = 1 << 22  # of texts handled at once; a longer text is handled by itself
+
 WORD, NUMBER, UNIT, NAME = range(4)
 PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¿¡"
@@ -49,48 +52,60 @@ GLUED = re.compile(r"([+-]?\d[\d.,:/]*?)([^\W\d_][^\W\d_/]*(?:/[^\W\d_]+)*)")  #
 WINDOWS = "id {}, at int, n int, template string, slots array<string>, h long"
 
 
-def _parts(word: str) -> list[tuple[str, int, bool]]:
+def _parts(word: str) -> tuple[tuple[str, int, bool], ...]:
     """Bare words, what each may stand for, and whether a sentence ends after it. None for punctuation."""
     bare = word.strip(PUNCTUATION)
     low = bare.lower()
+    low = word if low == word else low  # one string less to remember
     ends = word.rstrip("\"')]}»”’").endswith((".", "!", "?", ":"))
     if not bare:
-        return [("", WORD, ends)]
+        return (("", WORD, ends),)
     if NUMERIC.fullmatch(bare):
-        return [(low, NUMBER, ends)]
+        return ((low, NUMBER, ends),)
     if glued := GLUED.fullmatch(low):
         if glued[2] in ORDINALS:
-            return [(glued[1], NUMBER, ends)]
+            return ((glued[1], NUMBER, ends),)
         unit = all(u in UNITS for u in glued[2].split("/"))
-        return [(glued[1], NUMBER, False), (glued[2], UNIT if unit else WORD, ends)]
+        return ((glued[1], NUMBER, False), (glued[2], UNIT if unit else WORD, ends))
     if low in UNITS:
-        return [(low, UNIT, ends)]
+        return ((low, UNIT, ends),)
     if len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
-        return [(low, NAME, ends)]
-    return [(low, WORD, ends)]
+        return ((low, NAME, ends),)
+    return ((low, WORD, ends),)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, text) in slices of about ``SLICE_BYTES``."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), b.num_rows]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            if stop > start:
+                yield b.slice(start, stop - start)
 
 
 class _Templates:
     """Templates of the texts of an Arrow array, as arrays over all their words."""
 
-    known: dict[str, list[tuple[str, int, bool]]] = {}  # per Python worker
+    known: dict[str, tuple[tuple[str, int, bool], ...]] = {}  # per Python worker
 
     def __init__(self, texts: pa.Array) -> None:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = np.asarray(lists.offsets)
         coded = pc.dictionary_encode(pc.list_flatten(lists))
         names = coded.dictionary.to_pylist()
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         info = [self.known.get(w) or self.known.setdefault(w, _parts(w)) for w in names]
         flat, counts = [p for parts in info for p in parts], np.array([len(parts) for parts in info], np.int64)
+        del info, names
         bare = np.array([i[0] for i in flat], object)
         kinds = np.array([i[1] for i in flat], np.int8)
         ends = np.array([i[2] for i in flat], bool)
         hashes = np.array([xxhash.xxh64_intdigest(i[0]) for i in flat], np.uint64)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        if len(flat) > len(info):  # some words have two parts
+        if len(flat) > len(counts):  # some words have two parts
             first, of = np.cumsum(counts) - counts, counts[code]
             nth = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)
             code, text = np.repeat(first[code], of) + nth, np.repeat(text, of)
@@ -218,17 +233,15 @@ def leaks(
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(capacity, sent.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                b = whole.slice(start, 1000)
-                t, rows = _Templates(b.column(1)), []
-                ids = b.column(0).to_pylist()
-                for width in (*shorter, WINDOW):
-                    for kind, at, h in t.windows(width):
-                        near = bloom.has(h)
-                        rows.extend(t.rows(ids, kind, at[near], width, h[near]))
-                if rows:
-                    yield _batch(rows, b.column(0).type)
+        for b in _slices(batches):
+            t, rows = _Templates(b.column(1)), []
+            ids = b.column(0).to_pylist()
+            for width in (*shorter, WINDOW):
+                for kind, at, h in t.windows(width):
+                    near = bloom.has(h)
+                    rows.extend(t.rows(ids, kind, at[near], width, h[near]))
+            if rows:
+                yield _batch(rows, b.column(0).type)
 
     rows = packed(docs, (), id=id_col, text=text_col).select("id", "text")
     found = rows.mapInArrow(hits, WINDOWS.format(rows.schema["id"].dataType.simpleString()))
