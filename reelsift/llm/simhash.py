@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelsift.llm.common import ascii_lower, let, packed, ship, words
-from reelsift.operators.graph import components
+from reelsift.llm.components import components
 from reelsift.operators.skew import broadcast_if_small
 from reelsift.session import materialise
 

@@ -4,7 +4,7 @@ import xxhash
 from helpers import AWKWARD, docs, lowered, sentences, words_of
 from pyspark.sql import functions as F
 
-from reelsift.operators.graph import components
+from reelsift.llm.components import components
 from reelsift.llm.simhash import links, near_copies, one_of_each, simhash_components
 
 
