@@ -12,6 +12,9 @@ import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,15 @@ def packed(df: DataFrame, outputs: Sequence[str], **inputs: str) -> DataFrame:
     return df.select(row.alias("_row"), *(column(df, c).alias(alias) for alias, c in inputs.items()))
 
 
+def cuts(texts: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Where slices of ``texts`` of about ``size`` bytes start and stop; a longer text is one by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    starts = np.flatnonzero((ends[1:] // size != ends[:-1] // size) | (sizes[1:] > size)) + 1
+    at = [0, *starts.tolist(), len(texts)] if len(texts) else [0]
+    return list(zip(at, at[1:], strict=False))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,12 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import packed, parts, ship
+from reelsift.llm.common import cuts, packed, parts, ship
 from reelsift.session import materialise
 
 DEPTH = 5  # bytes of context, at most 6
 NEAR = 3  # last bytes of a context by which grams are dealt to tasks
-SLICE_GRAMS = 1 << 18
+SLICE_GRAMS = 1 << 16
+SLICE_BYTES, FEW_BYTES = 1 << 22, 1 << 19  # of texts whose words, and whose grams, are handled at once
 EDGE = 0xFF  # stands before and, once, after a text; no byte of UTF-8
 BUFFER = 1 << 21  # grams whose counts a task combines at once
 FREQUENT = 1 << 16  # words whose counts every task may hold
@@ -95,8 +96,8 @@ def _counted(depth: int):
             return _summed(np.concatenate([gram, g]), np.concatenate([n, k]))
 
         for whole in batches:
-            for start in range(0, whole.num_rows, 100):
-                b = whole.slice(start, 100)
+            for start, stop in cuts(whole.column(0), FEW_BYTES):
+                b = whole.slice(start, stop - start)
                 found, owner = _grams(_lowered(b.column(0)), depth)
                 codes.append(found << 1 | b.column(1).to_numpy(zero_copy_only=False)[owner])
                 size += len(found)
@@ -246,10 +247,10 @@ class _Scorer:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, grams, log_p, log10_all, ends = self.sent.value
-        words, grams = pd.Index(known), None if grams is None else pd.Index(grams)
+        words = pd.Index(known)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                b = whole.slice(start, 1000)
+            for start, stop in cuts(whole.column(1), SLICE_BYTES):
+                b = whole.slice(start, stop - start)
                 low = _lowered(b.column(1))
                 flat, sizes = _tokens(low)
                 n = len(low)
@@ -263,13 +264,14 @@ class _Scorer:
                 rare = at[code] < 0
                 rare_words = _listed(owner[rare], code[rare], n, lambda c: coded.dictionary.cast(pa.string()).take(pa.array(c)))
                 total, left = np.zeros(n), []
-                for first in range(0, n, 100):  # grams take many times the memory of their texts
-                    few = low.slice(first, 100)
+                for first, last in cuts(low, FEW_BYTES):  # grams take many times the memory of their texts
+                    few = low.slice(first, last - first)
                     gram, of = _grams(few, self.depth)
                     if grams is None:
                         left.append(_listed(of, gram, len(few), pa.array))
                     else:
-                        total[first : first + 100] = np.bincount(of, log_p[grams.get_indexer(gram)], len(few))
+                        different, of_gram = np.unique(gram, return_inverse=True)
+                        total[first:last] = np.bincount(of, log_p[np.searchsorted(grams, different)][of_gram], len(few))
                         left.append(_listed(of[:0], gram[:0], len(few), pa.array))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(sizes + 1), pa.array(seen), pa.array(base), pa.array(total), rare_words, pa.concat_arrays(left)],
@@ -328,7 +330,7 @@ def score(
     top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow().to_pandas()
     held = None, None
     if lengths.count() <= broadcast_grams:
-        table = lengths.toArrow().to_pandas()
+        table = lengths.orderBy("gram").toArrow()  # in order, tasks need no index of their own
         held = table["gram"].to_numpy(), table["log_p"].to_numpy()
     known = top["word"].to_numpy(object), np.append(top["n"].to_numpy(np.int64), 0)
     scorer = _Scorer(depth, spark.sparkContext.broadcast((*known, *held, log10_all, ends)))

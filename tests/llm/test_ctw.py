@@ -2,11 +2,14 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, docs, lowered, sentences, words_of
 from pyspark.sql import functions as F
 
 from reelsift.llm import ctw
+from reelsift.llm.common import cuts
+
 
 def train():
     return F.col("doc_id") % 5 != 1
@@ -101,6 +104,15 @@ def test_against_brute_force(spark, depth, frequent, grams):
         assert r["base_score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_slices_hold_about_so_many_bytes():
+    texts = pa.array(["a" * 30, None, "", "b" * 500, "c", "d" * 90, "e" * 20, None] * 3)
+    got = cuts(texts, 100)
+    assert [i for start, stop in got for i in range(start, stop)] == list(range(len(texts)))
+    sizes = [sum(len(t or "") for t in texts[start:stop].to_pylist()) for start, stop in got]
+    assert all(size <= 200 or 500 <= size < 600 for size in sizes) and sum(sizes) == 3 * 641
+    assert cuts(texts[:0], 100) == [] and cuts(texts[1:3], 100) == [(0, 2)]
+
+
 def test_kt_estimates():
     for a in (0, 1, 2, 9, 1000, 10**7):
         for b in (0, 1, 5, 10**6):
@@ -116,10 +128,10 @@ def test_scores_are_a_distribution(spark):
 
 
 def test_beats_words_on_held_out_texts(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     held = ctw.score(df, F.crc32(F.col("doc_id").cast("string")) % 5 != 1).filter(~F.col("trained"))
     ratio = held.agg(F.sum("score") / F.sum("base_score")).first()[0]
-    assert ratio < 1.05  # a thousandth of the corpus it is meant for
+    assert ratio < 1
 
 
 def test_edges(spark):
