@@ -282,6 +282,18 @@ def _may_be_alike(a: str, b: str, least: float) -> Column:
     return left * (1 + least) + 1e-6 >= least * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``found`` after ``more`` links ``a``, ``b``, which are taken between roots alone."""
+    lifted = more
+    for end in "ab":
+        root = found.select(F.col("node").alias(end), F.col("root").alias("_to"))
+        lifted = lifted.join(root, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    joined = materialise(components(lifted.select("a", "b").distinct()))
+    onto = joined.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    moved = found.join(onto, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return moved.union(joined.join(found, "node", "left_anti").select("node", "root"))
+
+
 def near_copies(
     docs: DataFrame,
     likeness_width: int = 5,
@@ -318,7 +330,7 @@ def near_copies(
     met = materialise(met.filter(F.col("first.node") != F.col("last")).drop("last"))
     pairs = met.filter("node <> first.node").filter(_may_be_alike("", "first.", least))
     linked = _alike(prints, pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), least)
-    found = components(linked)
+    found = materialise(components(linked))
     rest = met.join(found, "node", "left").select("key", "node", "n", "at", "first", F.coalesce("root", "node").alias("root"))
     rest = rest.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key))
     rest = materialise(rest.filter("low <> high and node <> first.node").select("key", "node", "n", "at", "root"))
@@ -326,7 +338,7 @@ def near_copies(
         x, y = (rest.select("key", F.struct("node", "n", "at", "root").alias(c)) for c in "xy")
         apart = x.join(y, "key").filter("x.node < y.node and x.root <> y.root").filter(_may_be_alike("x.", "y.", least))
         more = _alike(prints, apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), least)
-        found = components(linked.union(more))
+        found = _merged(found, more)
     rooted = materialise(
         nodes.select("node", "least").join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
             "node", "least", F.coalesce("root", "node").alias("root")

@@ -5,7 +5,7 @@ from helpers import AWKWARD, docs, lowered, sentences, words_of
 from pyspark.sql import functions as F
 
 from reelsift.llm.components import components
-from reelsift.llm.simhash import links, near_copies, one_of_each, simhash_components
+from reelsift.llm.simhash import _merged, links, near_copies, one_of_each, simhash_components
 
 
 def fingerprint(text):
@@ -75,6 +75,17 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_more_links_merge_components(spark):
+    draw = random.Random(3)
+    first, more = ([(draw.randrange(80), draw.randrange(80)) for _ in range(30)] for _ in range(2))
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = {r["node"]: r["root"] for r in _merged(components(table(first)), table(more)).collect()}
+    want = {r["node"]: r["root"] for r in components(table(first + more)).collect()}
+    assert got == want
+    assert _merged(components(table([])), table(more)).count() == components(table(more)).count()
+    assert _merged(components(table(first)), table([])).count() == components(table(first)).count()
+
+
 def test_one_of_each_and_edges(spark):
     assert simhash_components(docs(spark, [])).count() == 0
     df = docs(spark, ["a b c d", "A b c d", "x y z w", None], [3, 1, 2, None]).withColumn("fp", F.lit(1))
