@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,8 @@ from reelsift.session import materialise
 
 FOLD_ROWS = 512  # detections of one frame and class that are folded within a row
 PAIR_ROWS = 1024  # ... that are compared without a spatial grid
+VISIT_ROWS = 20_000_000  # ... that one task may visit one by one, keeping their distinct boxes
+VISIT_TASKS = 4  # tasks of such visits for each shuffle partition, so that few large groups meet in one
 COMPONENT_ROWS = 1_000_000  # detections connected by matches that one task may visit one by one
 COMPONENT_LINKS = 2_000_000  # ... and matches between their distinct boxes
 
@@ -142,16 +147,127 @@ def vote_groups(
 
     The detections of a frame and class fit into a row almost always; there the recurrence is a
     fold over the sorted array, after one shuffle by frame that later steps per frame reuse. Larger
-    groups are solved by joins (``_group_large``), with the same result. Sizes are taken from
+    groups are visited in order by a task each (``_group_in_order``), which finds no pairs. Groups beyond
+    ``VISIT_ROWS``, and those that a lower ``limit`` leaves out, are solved by joins (``_group_large``).
+    The result is the same. Sizes are taken from
     ``sized_by``, a table cheaper to count that holds all rows of ``det``, or from ``det`` itself.
     """
     usual, large = split_large_groups(det, _GROUP, limit, sized_by)
     grouped = _group_by_fold(usual, params.iou_threshold)
-    if large is not None:
-        grouped = grouped.unionByName(_group_large(large, params.iou_threshold))
+    for part, group in _by_size(large) if large is not None else ():
+        grouped = grouped.unionByName(group(part, params.iou_threshold).select(*grouped.columns))
     return grouped.select(*det.columns, "gid")
 
 
+def _by_size(large: DataFrame) -> list[tuple[DataFrame, Callable[[DataFrame, float], DataFrame]]]:
+    """The parts of ``large`` that there are, and what solves each."""
+    sizes = materialise(large.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("_rows")))
+    visited = F.col("_rows").between(FOLD_ROWS + 1, VISIT_ROWS)
+    kinds = ((sizes.filter(visited), _group_in_order), (sizes.filter(~visited), _group_large))
+    return [
+        (large.join(broadcast_if_small(keys.select(*_GROUP)), _GROUP, "left_semi"), group)
+        for keys, group in kinds
+        if not keys.isEmpty()
+    ]
+
+
+class _Visited:
+    """The boxes of one frame and class visited so far, by size and place, with their groups.
+
+    Boxes are filed as in ``_grid_join``. Cells and their chunks know their least group, so a box that has
+    found a group is not compared with boxes of that group or later ones. A copy of a box is filed only if its
+    group is an earlier one.
+    """
+
+    CHUNK = 1024
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.base = threshold, 1.01 / threshold
+        self.log = math.log(self.base)
+        self.cells: dict[tuple, list] = {}  # filed rows x1, y1, x2, y2, gid; their number; least group; that of chunks
+        self.least: dict[tuple, int] = {}  # by box
+
+    def _lookups(self, start: int, size: int, level: int) -> list[tuple[int, int]]:
+        near = []
+        for lvl in (level, level - 1, level + 1):
+            cell = self.base ** (lvl + 1)
+            reach = max(size, cell) * (1.01 - self.threshold) + 1
+            near.extend((lvl, c) for c in range(math.floor((start - reach) / cell), math.floor((start + reach) / cell) + 1))
+        return near
+
+    def group(self, seq: int, x1: int, y1: int, x2: int, y2: int) -> int:
+        wide, high = x2 - x1, y2 - y1
+        if wide <= 0 or high <= 0:
+            return seq
+        box = (x1, y1, x2, y2)
+        known = self.least.get(box)
+        best = seq if known is None else known
+        lx, ly = math.floor(math.log(wide) / self.log), math.floor(math.log(high) / self.log)
+        cells, earlier, ys = self.cells, [], self._lookups(y1, high, ly)
+        for x in self._lookups(x1, wide, lx):
+            for y in ys:
+                cell = cells.get((x, y))
+                if cell is not None and cell[2] < best:
+                    earlier.append(cell)
+        earlier.sort(key=lambda c: c[2])
+        for rows, n, first, chunks in earlier:
+            if first >= best:
+                break
+            for k, of_chunk in enumerate(chunks):
+                if of_chunk < best:
+                    best = min(best, self._hit(rows[:, k * self.CHUNK : min(n, (k + 1) * self.CHUNK)], box, wide * high, best))
+                    if first >= best:
+                        break
+        if known is None or best < known:
+            self.least[box] = best
+            at = self.base ** (lx + 1), self.base ** (ly + 1)
+            self._file(((lx, math.floor(x1 / at[0])), (ly, math.floor(y1 / at[1]))), (*box, best))
+        return best
+
+    def _hit(self, rows: np.ndarray, box: tuple, area: int, best: int) -> int:
+        a1, b1, a2, b2, gid = rows
+        x1, y1, x2, y2 = box
+        wide, high = np.minimum(a2, x2) - np.maximum(a1, x1), np.minimum(b2, y2) - np.maximum(b1, y1)
+        shared = np.maximum(wide, 0) * np.maximum(high, 0)
+        hits = gid[(shared / ((a2 - a1) * (b2 - b1) + area - shared) >= self.threshold) & (shared > 0)]
+        return int(hits.min()) if len(hits) else best
+
+    def _file(self, key: tuple, row: tuple) -> None:
+        cell = self.cells.setdefault(key, [np.empty((5, 4), np.int64), 0, row[4], []])
+        if cell[1] == cell[0].shape[1]:
+            cell[0] = np.concatenate([cell[0], np.empty_like(cell[0])], axis=1)
+        cell[0][:, cell[1]] = row
+        chunk = cell[1] // self.CHUNK
+        if chunk == len(cell[3]):
+            cell[3].append(row[4])
+        cell[3][chunk] = min(cell[3][chunk], row[4])
+        cell[1], cell[2] = cell[1] + 1, min(cell[2], row[4])
+
+
+def _group_in_order(det: DataFrame, threshold: float) -> DataFrame:
+    """The same groups by visiting the detections of each frame and class in order.
+
+    Rows pass through in batches; a task holds the distinct boxes of one frame and class. As visiting takes
+    its time, groups are spread over many tasks however few their rows are.
+    """
+    tasks = VISIT_TASKS * int(det.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    det = det.select(*det.columns, F.col("det_seq").alias("gid"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, visited = None, _Visited(threshold)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in (*_GROUP, "det_seq", *schemas.BOX_COLUMNS)), strict=True)
+            gids = []
+            for frame, cls, seq, *box in rows:
+                if (frame, cls) != group:
+                    group, visited = (frame, cls), _Visited(threshold)
+                gids.append(visited.group(seq, *box))
+            last = batch.schema.get_field_index("gid")
+            yield batch.set_column(last, batch.schema.field(last), pa.array(gids, batch.schema.field(last).type))
+
+    return det.repartition(tasks, *_GROUP).sortWithinPartitions(*_GROUP, "det_seq").mapInArrow(visit, det.schema)
+
+
 def first_fit(members: Column, threshold: float, by_class: bool) -> Column:
     """Fold an array of detections in visiting order into an array of ``struct<gid, d>``.
 

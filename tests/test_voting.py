@@ -202,3 +202,15 @@ def test_votes_never_exceed_members(spark):
     merged = voting.ensemble(det(spark, *frames), Params(ensemble=True, voting_threshold=1))
     assert merged.filter("votes > members OR votes > 3").count() == 0
     assert merged.agg(F.sum("members")).first()[0] == 150
+
+
+def test_crowded_frames_are_visited_without_pairs(spark, monkeypatch):
+    """Frames beyond a fold make no table of matches, of which dense ones have a square number."""
+    monkeypatch.setattr(voting, "_grid_join", lambda *_: pytest.fail("pairs"))
+    frames = [
+        crowd(1, 1500, spread=200, classes=1), crowd(2, 1200, copies=0.5, classes=1), crowd(3, 900, size=(1, 60), classes=1),
+        [*crowd(4, 700, spread=100, copies=0.3, classes=1), *[(0, 5, 5, 5, 9)] * 3], crowd(5, 20),
+    ]
+    assert gids(voting.vote_groups(det(spark, *frames), ALL)) == wanted(*frames)
+    loose = Params(ensemble=True, iou_threshold=0.3)
+    assert gids(voting.vote_groups(det(spark, *frames), loose)) == wanted(*frames, threshold=0.3)
