@@ -152,15 +152,24 @@ def crop_pixels(frames: DataFrame, crops: DataFrame) -> DataFrame:
     return flat.mapInPandas(cut, output).withColumn("image", image).drop("_c", "_mode", "_data")
 
 
-def write_pixels(frames: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+def place_frames(frames: DataFrame, buckets: int) -> DataFrame:
+    """``frames``, still without pixels, each in the task that writes its bucket, in order."""
+    return frames.repartition(buckets, "video_id", "frame_no").sortWithinPartitions("video_id", "frame_no")
+
+
+def write_pixels(frames: DataFrame, table: str, buckets: int, path: str | None = None, placed: bool = False) -> None:
     """Save a pixel table bucketed and sorted by frame, for joins that leave pixels in place.
 
-    It lies at ``path``, or in the warehouse.
+    It lies at ``path``, or in the warehouse. Where ``place_frames`` came before pixels were read, say so by
+    ``placed``: then keys have been shuffled and sorted, and pixels are only written.
     """
-    writer = (
-        frames.repartition(buckets, "video_id", "frame_no")
-        .write.mode("overwrite")
-        .bucketBy(buckets, "video_id", "frame_no")
-        .sortBy("video_id", "frame_no")
-    )
+    if placed:
+        writer = frames.write.mode("overwrite").bucketBy(buckets, "video_id", "frame_no")
+    else:
+        writer = (
+            frames.repartition(buckets, "video_id", "frame_no")
+            .write.mode("overwrite")
+            .bucketBy(buckets, "video_id", "frame_no")
+            .sortBy("video_id", "frame_no")
+        )
     (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -134,3 +134,15 @@ def test_models_of_one_name_do_not_mix(frames):
 def test_a_model_that_leaves_out_frames_fails(frames):
     with pytest.raises(Exception, match="shorter"):
         images.infer_detections(frames, "yolo", constant(1, short=True)).collect()
+
+
+def test_placed_frames_are_bucketed_without_moving_pixels(spark, tmp_path):
+    frames = spark.range(60).selectExpr("int(id % 3) AS video_id", "int(id) AS frame_no", "id AS frame_key", "1 AS width", "1 AS height")
+    drawn = images.place_frames(frames, 4).mapInPandas(lambda batches: batches, frames.schema)
+    images.write_pixels(drawn, "placed_pixels", 4, str(tmp_path / "p"), placed=True)
+    table = spark.table("placed_pixels")
+    assert len(list((tmp_path / "p").glob("*.parquet"))) == 4
+    assert sorted(r.frame_key for r in table.collect()) == list(range(60))
+    plan = table.join(table.withColumnRenamed("width", "w"), ["video_id", "frame_no"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 0 or "Broadcast" in plan
+    spark.sql("DROP TABLE placed_pixels")
