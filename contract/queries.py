@@ -259,7 +259,8 @@ def primary_subject(t: Tables) -> DataFrame:
 
 @query
 def primary_subject_ensemble(t: Tables) -> DataFrame:
-    return subjects.primary_subject(voting.ensemble(t.det, ALL, t.group_limit)).drop("class_name")
+    """Names, which are not asked for, are not carried through the votes."""
+    return subjects.primary_subject(voting.ensemble(t.det, ALL, t.group_limit, names=False)).drop("class_name")
 
 
 @query
