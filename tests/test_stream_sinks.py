@@ -103,6 +103,7 @@ class Gathered:
             query = query.option("checkpointLocation", str(self.dir / "state")).trigger(availableNow=True).start()
             query.awaitTermination()
         self.late += lr.late_rows(query)
+        self.states = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
         got = self.spark.read.parquet(str(self.dir / "out")).collect()
         return sorted((r["frame_key"], r["status"], sorted(d["det_seq"] for d in r["detections"]), len(r["regions"])) for r in got)
 
@@ -145,6 +146,19 @@ def test_nothing_is_asked_of_regions_without_a_text_gate(spark, tmp_path):
     assert g.run([report(1, "yolo", 1), found(1, "yolo", 7)]) == [(1, "complete", [7], 0)]
 
 
+def test_frames_of_a_slice_share_a_state_and_keep_what_is_null(spark, tmp_path):
+    g = Gathered(spark, tmp_path, Params(interval=1, use_quick_text=False))
+    frames = range(-3, 300)
+    unnamed = [(*found(f, "yolo", 7)[:9], None, None, float("nan") if f == 5 else None, None, 2, 30, 40, *[None] * 4) for f in frames]
+    assert g.run([report(f, "yolo", 2) for f in frames] + unnamed) == []
+    assert g.run([found(f, "yolo", 8) for f in frames]) == [(f, "complete", [7, 8], 0) for f in frames]
+    assert 1 <= g.states <= 3
+    got = {r["frame_key"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    odd = {k: next(tuple(d) for d in r["detections"] if d["det_seq"] == 7) for k, r in got.items()}
+    assert all(d[1:] == (None, None, None, None, 2, 30, 40) for k, d in odd.items() if k != 5)
+    assert odd[5][3] != odd[5][3] and (got[5]["width"], got[-3]["frame_no"], got[299]["video_id"]) == (100, -3, 1)
+
+
 # --- crops by run ----------------------------------------------------------------------------
 
 
