@@ -101,3 +101,19 @@ def test_edges(spark):
         assert score(df, fit(df, none)).filter("predicted = 0").count() == 0
     twice = labels.union(labels.withColumn("quality", 1 - F.col("quality")))
     assert not fit(df, twice).weight  # an id with two labels counts as rejected
+
+
+def test_all_labelled_documents_count(spark, monkeypatch):
+    """Means, weights and cut are those of all rows, with more documents of a class than were once used."""
+    from reelsift.llm import quality
+
+    monkeypatch.setattr(quality, "_vector", lambda text: F.array(F.char_length(text).cast("double"), F.length(text) % 7 + F.lit(0.0)))
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.expr("repeat('a', int(id * 37 % 101) + int(id % 2) * 40)").alias("text"))
+    labels = rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = fit(rows, labels)
+    length = np.array([k * 37 % 101 + k % 2 * 40 for k in range(9000)], float)
+    x = np.stack([length, length % 7], 1)
+    assert model.mean == pytest.approx(tuple(x.mean(0)), abs=1e-9) and model.scale == pytest.approx(tuple(x.std(0)), abs=1e-9)
+    strength = np.clip((x - model.mean) / model.scale, -CLIP, CLIP) @ model.weight
+    ordered = np.sort(strength)
+    assert ordered[4499] - 1e-9 <= model.cut <= ordered[4500] + 1e-9 and model.weight[0] > 0.5
