@@ -349,11 +349,23 @@ def near_copies(
     return prints.select("_id", "node").join(named, "node").select(F.col("_id").alias("doc_id"), "component_id")
 
 
+def _others(found: DataFrame) -> DataFrame:
+    """Ids that are not the least of their component, written down."""
+    return materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id.
 
+    Groups are those of SimHash. Two bits do not reach all texts that are alike, so the documents SimHash
+    leaves are compared by their shingles too (``near_copies``).
+
     Documents without id stay. Rows with one id are one document and stay or go together.
     """
-    found = materialise(near_copies(docs))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = _others(simhash_components(docs))
+    more = _others(near_copies(_without(docs, gone)))
+    return _without(docs, gone.union(more))

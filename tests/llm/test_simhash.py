@@ -185,3 +185,16 @@ def test_texts_alike_meet_where_the_least_is_like_neither(spark):
             texts.append(" ".join(template + [f"w{draw.randrange(10**6)}" for _ in range(own)]))
     got = {r["doc_id"]: r["component_id"] for r in near_copies(docs(spark, texts)).collect()}
     assert got == {i: i - (i % 3 == 2) for i in range(180)}
+
+
+def test_one_of_each_takes_what_simhash_links(spark):
+    """Texts whose fingerprints are two bits apart or less, though few of their different shingles are common."""
+    draw = random.Random(12)
+    line = " ".join(["one two three four five six seven eight nine ten eleven"] * 300)
+    texts = [f"{line} {' '.join(f'w{draw.randrange(10**6)}' for _ in range(30))}" for _ in range(3)]
+    assert all((fingerprint(texts[0]) ^ fingerprint(t)).bit_count() <= 2 for t in texts)
+    assert len(set(alike(list(enumerate(texts))))) == 3
+    base = " ".join(f"v{draw.randrange(10**6)}" for _ in range(200))
+    texts += [base, edited(base, 3, draw)]
+    assert (fingerprint(texts[3]) ^ fingerprint(texts[4])).bit_count() > 2
+    assert {r["doc_id"] for r in one_of_each(docs(spark, texts)).collect()} == {0, 3}
