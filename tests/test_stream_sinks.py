@@ -300,6 +300,16 @@ def test_second_pass_in_either_order(spark, tmp_path, halves):
     assert same(spark.read.parquet(str(tmp_path / "out")).drop("batch"), two_pass(t.frames, t.det, t.regions, ALL))
 
 
+def test_second_pass_keeps_only_detections_that_vote(spark, tmp_path, halves):
+    t, parts = halves
+    full = timed(parts[0])
+    quick = full.withColumn("detections", F.filter("detections", lambda d: d["model_source"] == "yolo"))
+    streams = arriving(spark, quick, tmp_path / "quick"), arriving(spark, full, tmp_path / "full")
+    sinks.stream_two_pass(*streams, str(tmp_path / "out"), str(tmp_path / "state"), ALL, delay="1000 days").awaitTermination()
+    kept = [p.read_bytes() for p in (tmp_path / "state" / "state").rglob("schema*") if p.is_file()]
+    assert any(b"detections" in k for k in kept) and not any(b"regions" in k for k in kept)
+
+
 def test_text_gate_waits_for_regions(spark, tmp_path):
     frame = T.StructType([*schemas.FRAMES.fields, T.StructField("event_time", T.TimestampType())])
     now = datetime.datetime(2026, 1, 1)
