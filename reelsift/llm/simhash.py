@@ -85,6 +85,9 @@ def links(prints: DataFrame, hot: int = HOT_HALF) -> DataFrame:
     A half that more than ``hot`` fingerprints share would make a bucket of as many. There the other
     half joins in as well, together with its 32 one-bit changes: two halves at most two bits apart
     meet in one of these, and no bucket can hold more than 66 fingerprints.
+
+    The index has 64 rows and more for each fingerprint, but Spark takes an explode to give one, so the join is
+    told not to broadcast it.
     """
     places = F.explode(F.sequence(F.lit(0), F.lit(HALF - 1))).alias("place")
     halves = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn(
@@ -99,7 +102,7 @@ def links(prints: DataFrame, hot: int = HOT_HALF) -> DataFrame:
         keys = crowded.select("side", "half", places).select(
             _one_bit_off(F.col("side"), F.col("place")).alias("key")
         )
-        keys = broadcast_if_small(keys.distinct())
+        keys = broadcast_if_small(materialise(keys.distinct()))  # written, so that Spark knows its size
         sparse = keyed.join(keys, "key", "left_anti").select("fp", "key")
         other = _half(F.col("fp"), 1 - F.col("side"))
         flips = F.transform(
@@ -125,7 +128,7 @@ def links(prints: DataFrame, hot: int = HOT_HALF) -> DataFrame:
             .otherwise(HALF + F.bit_count(high - 1))
         )
         near = (F.col("a") < F.col("b")) & (F.bit_count(off) <= 2) & (F.col("key.slot") == first)
-        return left.join(right, "key").filter(near).select("a", "b")
+        return left.join(right.hint("merge"), "key").filter(near).select("a", "b")
 
     found = pairs(sparse)
     return found if dense is None else found.union(pairs(dense).distinct())

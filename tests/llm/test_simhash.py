@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelsift.llm.components import components
 from reelsift.llm.simhash import _merged, links, near_copies, one_of_each, simhash_components
+from reelsift.session import materialise
 
 
 def fingerprint(text):
@@ -65,6 +66,14 @@ def test_links_are_exact_in_crowded_halves(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_the_index_is_never_broadcast(spark):
+    half = [(7 << 32 | i * 2654435761 % (1 << 32),) for i in range(40)]
+    written = materialise(spark.createDataFrame(half, "fp long"))
+    for hot in (1, 10_000):
+        plan = links(written, hot)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "Inner" in x]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 164)]
     star = [(7, k) for k in range(300, 340)] + [(339, 5)]
