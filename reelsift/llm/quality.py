@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import let, packed, ship, words
-from reelsift.operators.skew import is_small, number_within
+from reelsift.operators.skew import SMALL_ROWS, is_small, number_within
 from reelsift.session import materialise
 
 OUTPUTS = ("score", "predicted")
@@ -156,6 +156,8 @@ def _pairs(rows: DataFrame, model: QualityModel, found: dict[int, int], each: in
     left = placed.filter(F.col("quality") == many).select("at", F.col("z").alias("_many"), turn)
     left = left.select("_many", ((F.col("at") + F.col("_shift")) % found[few]).alias("at"))
     right = placed.filter(F.col("quality") == few).select("at", F.col("z").alias("_few"))
+    # Spark takes the explode to give one row each, and would broadcast what it makes of a small table
+    right = F.broadcast(right) if found[few] <= SMALL_ROWS else right.hint("merge")
     good, bad = ("_many", "_few") if many == 1 else ("_few", "_many")
     return materialise(left.join(right, "at").select(F.zip_with(good, bad, lambda g, b: g - b).alias("diff")))
 

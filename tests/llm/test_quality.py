@@ -6,6 +6,7 @@ import regex
 from helpers import AWKWARD, docs, sentences, words_of
 from pyspark.sql import functions as F
 
+from reelsift.llm import quality
 from reelsift.llm.quality import CLIP, CUT, fit, score
 
 
@@ -117,3 +118,21 @@ def test_all_labelled_documents_count(spark, monkeypatch):
     strength = np.clip((x - model.mean) / model.scale, -CLIP, CLIP) @ model.weight
     ordered = np.sort(strength)
     assert ordered[4499] - 1e-9 <= model.cut <= ordered[4500] + 1e-9 and model.weight[0] > 0.5
+
+
+@pytest.mark.parametrize(("small", "join"), [(100_000, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_pairs_are_never_broadcast(spark, monkeypatch, small, join):
+    plans, write = [], quality.materialise
+    monkeypatch.setattr(quality, "SMALL_ROWS", small, raising=False)
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(quality, "materialise", noted)
+    texts = sentences(60, seed=4)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(60)], "doc_id long, quality int")
+    fit(docs(spark, texts, range(60)), labels)
+    (plan,) = [x for x in plans if "zip_with" in x]
+    (paired,) = [x for x in plan.splitlines() if "Join" in x]
+    assert join in paired and "BuildLeft" not in paired
