@@ -174,18 +174,174 @@ def _by_size(large: DataFrame) -> list[tuple[DataFrame, Callable[[DataFrame, flo
 class _Visited:
     """The boxes of one frame and class visited so far, by size and place, with their groups.
 
-    Boxes are filed as in ``_grid_join``. Cells and their chunks know their least group, so a box that has
-    found a group is not compared with boxes of that group or later ones. A copy of a box is filed only if its
-    group is an earlier one.
+    Most rows are decided in blocks (``groups``). Boxes of like size and place share a patch, which knows the hull
+    of its boxes. Patches that hold boxes which match are connected, and no group of a connected component can be
+    earlier than its first row. So a row that matches a box of that group, kept for its patch, is decided; hashes
+    of patches may collide, as the box is compared in full. Other rows are visited one by one (``_group``): boxes
+    are filed as in ``_grid_join``; cells and their chunks know their least group, so a box that has found a group
+    is not compared with boxes of that group or later ones. A copy of a box is filed only if its group is an
+    earlier one.
     """
 
     CHUNK = 1024
+    BLOCK = 256, 16384  # rows decided at once: at first, and at most
+    PAIRS = 20_000_000, 2000  # pairs of boxes and hulls compared to connect patches: at first, and for each row
 
     def __init__(self, threshold: float) -> None:
         self.threshold, self.base = threshold, 1.01 / threshold
         self.log = math.log(self.base)
-        self.cells: dict[tuple, list] = {}  # filed rows x1, y1, x2, y2, gid; their number; least group; that of chunks
-        self.least: dict[tuple, int] = {}  # by box
+        self.cells: dict[tuple, list] = {}  # filed rows x1, y1, x2, y2, gid, seq; their number; least group; that of chunks
+        self.least: dict[bytes, int] = {}  # by box
+        self.fine = max((2 * threshold / (1 + threshold)) ** -0.5, 1.02)  # boxes of one patch mostly match
+        self.ids: dict[int, int] = {}  # patches by hash
+        self.used, self.block, self.left = 0, self.BLOCK[0], self.PAIRS[0]
+        self.kept: dict[int, list[np.ndarray]] = {}  # by patch, its boxes
+        self.hull = np.empty((8, 0), np.int64)  # by patch: least x1, y1, width, height, greatest x2, y2, width, height
+        self.part = np.empty(0, np.int64)  # ... its connected component
+        self.first = np.empty(0, np.int64)  # ... by component, the first row
+        self.seed = np.empty((5, 0), np.int64)  # ... a box and its group
+
+    def groups(self, seq: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        """The groups of the next rows: their numbers, and x1, y1, x2, y2 as rows of an array."""
+        gids, at = seq.copy(), 0
+        solid = np.flatnonzero((boxes[2] > boxes[0]) & (boxes[3] > boxes[1]))
+        while at < len(solid):
+            some = solid[at : at + self.block]
+            gids[some] = self._block(seq[some], np.ascontiguousarray(boxes[:, some]))
+            at, self.block = at + self.block, min(2 * self.block, self.BLOCK[1])
+        return gids
+
+    def _block(self, seq: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        self.left += self.PAIRS[1] * len(seq)
+        patch, least = self._patches(seq, boxes), self.least
+        keys = np.ascontiguousarray(boxes.T).view(f"V{4 * boxes.itemsize}").ravel().tolist()
+        new = [i for k, i in dict(zip(keys, range(len(keys)), strict=True)).items() if k not in least]
+        self._connect(patch[new], boxes[:, new])
+        floor = self.first[self.part[patch]]
+        sure = (self.seed[4, patch] == floor) & self._near(self.seed[:4, patch], boxes)
+        gids = np.where(sure, floor, seq)
+        new = []
+        for i, known in zip(np.flatnonzero(sure).tolist(), floor[sure].tolist(), strict=True):
+            if least.get(keys[i], known + 1) > known:
+                least[keys[i]] = known
+                new.append(i)
+        self._file(boxes[:, new], gids[new], seq[new])
+        for i in np.flatnonzero(~sure).tolist():
+            box, own, end = tuple(boxes[:, i].tolist()), patch[i], int(floor[i])
+            known = end if self.seed[4, own] == end and self._near(self.seed[:4, own], boxes[:, i]) else least.get(keys[i])
+            gid = self._group(int(seq[i]), box, known, end)
+            gids[i] = gid
+            if gid == end and self.seed[4, own] != end:
+                self.seed[:, own] = (*box, gid)
+            if gid < least.get(keys[i], gid + 1):
+                least[keys[i]] = gid
+                self._file(boxes[:, i : i + 1], gids[i : i + 1], seq[i : i + 1])
+        return gids
+
+    def _near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        wide, high = np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), np.minimum(a[3], b[3]) - np.maximum(a[1], b[1])
+        shared = np.maximum(wide, 0) * np.maximum(high, 0)
+        area = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1])
+        return (shared > 0) & (shared / np.maximum(area - shared, 1) >= self.threshold)
+
+    def _patches(self, seq: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        """The patch of each row, after hulls have taken in the rows."""
+        size = boxes[2:] - boxes[:2]
+        level = np.floor(np.log(size) / math.log(self.fine)).astype(np.int64)
+        place = np.floor(boxes[:2] / (self.fine**level * (1 - 1 / self.fine))).astype(np.int64)
+        code = np.zeros(len(seq), np.uint64)
+        for part in (*level, *place):
+            code = (code ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        names, start, inverse = np.unique(code, return_index=True, return_inverse=True)
+        patches = np.array([self.ids.setdefault(c, len(self.ids)) for c in names.tolist()])
+        more = len(self.ids) - self.used
+        if self.used + more > len(self.part):
+            self._grow(2 * (self.used + more))
+        fresh = patches >= self.used
+        self.first[patches[fresh]] = seq[start[fresh]]
+        self.used += more
+        order = np.argsort(inverse, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(inverse))])[:-1]
+        low = np.minimum.reduceat(np.concatenate([boxes[:2], size])[:, order], ends, axis=1)
+        high = np.maximum.reduceat(np.concatenate([boxes[2:], size])[:, order], ends, axis=1)
+        was = self.hull[:, patches]
+        self.hull[:, patches] = np.concatenate([np.minimum(was[:4], low), np.maximum(was[4:], high)])
+        return patches[inverse]
+
+    def _grow(self, size: int) -> None:
+        n = len(self.part)
+        far = np.iinfo(np.int64).max
+        blank = np.repeat(np.array([far] * 4 + [-far] * 4)[:, None], size - n, axis=1)
+        self.hull = np.concatenate([self.hull, blank], axis=1)
+        self.part = np.concatenate([self.part, np.arange(n, size) if self.left >= 0 else np.zeros(size - n, np.int64)])
+        self.first = np.concatenate([self.first, np.full(size - n, far if self.left >= 0 else self.first[0])])
+        self.seed = np.concatenate([self.seed, np.full((5, size - n), -1)], axis=1)
+
+    def _connect(self, patch: np.ndarray, boxes: np.ndarray) -> None:
+        """Keep boxes that are new, and join the components of patches that hold a match with one of them.
+
+        Where so many patches lie apart that it takes too long, all are held to be connected, which is safe.
+        """
+        if self.left < 0 or not len(patch):
+            return
+        order = np.argsort(patch, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(patch[order]) > 0])
+        fresh = dict(zip(patch[order][starts].tolist(), np.split(boxes[:, order], starts[1:], axis=1), strict=True))
+        for p, some in fresh.items():
+            self.kept.setdefault(p, []).append(some)
+        touched, part = np.array(list(fresh)), self.part[: self.used]
+        main = np.bincount(part).argmax()
+        rest, inside = np.flatnonzero(part != main), part[touched] == main
+        for some, others in ((touched[~inside], np.arange(self.used)), (touched[inside], rest)):
+            step = max(1, 4_000_000 // max(len(others), 1))
+            for k in range(0, len(some) if len(others) else 0, step):
+                few = some[k : k + step]
+                self.left -= len(few) * len(others)
+                x, y = np.nonzero(self._may_match(self.hull[:, few, None], self.hull[:, None, others]))
+                self._meet(few[x], others[y], fresh)
+                if self.left < 0:
+                    self.left = -math.inf
+                    self.part[:], self.first[:] = 0, self.first.min()
+                    self.kept.clear()
+                    return
+
+    def _meet(self, a: np.ndarray, b: np.ndarray, fresh: dict[int, np.ndarray]) -> None:
+        """Join the components of patches ``a`` and ``b`` if new boxes of the one match boxes of the other."""
+        a, b = (x[self.part[a] != self.part[b]] for x in (a, b))
+        near = self._near(np.stack([self.kept[p][0][:, 0] for p in a.tolist()], 1), np.stack([self.kept[p][0][:, 0] for p in b.tolist()], 1)) if len(a) else []
+        if np.any(near):
+            self._join(np.unique(self.part[a[near]] * len(self.part) + self.part[b[near]]))
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            if self.part[p] != self.part[q] and self.left >= 0:
+                self.kept[q] = [np.concatenate(self.kept[q], axis=1)]
+                new, old = fresh[p], self.kept[q][0]
+                self.left -= new.shape[1] * old.shape[1]
+                if any(self._near(new[:, i, None], old).any() for i in range(new.shape[1])):
+                    self._join(np.array([self.part[p] * len(self.part) + self.part[q]]))
+
+    def _join(self, pairs: np.ndarray) -> None:
+        """Join components, given as pairs ``x * len(self.part) + y``."""
+        root = {x: x for x in np.unique(np.concatenate(np.divmod(pairs, len(self.part)))).tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(*(p.tolist() for p in np.divmod(pairs, len(self.part))), strict=True):
+            root[find(x)] = find(y)
+        moved = np.arange(len(self.part))
+        for x in root:
+            moved[x] = find(x)
+            self.first[find(x)] = min(self.first[find(x)], self.first[x])
+        self.part[: self.used] = moved[self.part[: self.used]]
+
+    def _may_match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        spans = (np.minimum(a[4 + k], b[4 + k]) - np.maximum(a[k], b[k]) for k in (0, 1))
+        wide, high = (np.minimum(s, np.minimum(a[6 + k], b[6 + k])) for k, s in enumerate(spans))
+        shared = np.maximum(wide, 0) * np.maximum(high, 0).astype(float)
+        return (shared > 0) & (shared * (1 + self.threshold) * (1 + 1e-9) >= self.threshold * (a[2] * a[3] + b[2] * b[3]))
 
     def _lookups(self, start: int, size: int, level: int) -> list[tuple[int, int]]:
         near = []
@@ -195,18 +351,18 @@ class _Visited:
             near.extend((lvl, c) for c in range(math.floor((start - reach) / cell), math.floor((start + reach) / cell) + 1))
         return near
 
-    def group(self, seq: int, x1: int, y1: int, x2: int, y2: int) -> int:
-        wide, high = x2 - x1, y2 - y1
-        if wide <= 0 or high <= 0:
-            return seq
-        box = (x1, y1, x2, y2)
-        known = self.least.get(box)
+    def _group(self, seq: int, box: tuple, known: int | None, end: int) -> int:
+        """The group of a row whose box is in group ``known`` already; none is earlier than ``end``."""
         best = seq if known is None else known
+        if best == end:
+            return best
+        x1, y1, x2, y2 = box
+        wide, high = x2 - x1, y2 - y1
         lx, ly = math.floor(math.log(wide) / self.log), math.floor(math.log(high) / self.log)
         cells, earlier, ys = self.cells, [], self._lookups(y1, high, ly)
         for x in self._lookups(x1, wide, lx):
             for y in ys:
-                cell = cells.get((x, y))
+                cell = cells.get((*x, *y))
                 if cell is not None and cell[2] < best:
                     earlier.append(cell)
         earlier.sort(key=lambda c: c[2])
@@ -215,33 +371,45 @@ class _Visited:
                 break
             for k, of_chunk in enumerate(chunks):
                 if of_chunk < best:
-                    best = min(best, self._hit(rows[:, k * self.CHUNK : min(n, (k + 1) * self.CHUNK)], box, wide * high, best))
-                    if first >= best:
+                    best = min(best, self._hit(rows[:, k * self.CHUNK : min(n, (k + 1) * self.CHUNK)], box, wide * high, best, seq))
+                    if max(first, end) >= best:
                         break
-        if known is None or best < known:
-            self.least[box] = best
-            at = self.base ** (lx + 1), self.base ** (ly + 1)
-            self._file(((lx, math.floor(x1 / at[0])), (ly, math.floor(y1 / at[1]))), (*box, best))
         return best
 
-    def _hit(self, rows: np.ndarray, box: tuple, area: int, best: int) -> int:
-        a1, b1, a2, b2, gid = rows
+    def _hit(self, rows: np.ndarray, box: tuple, area: int, best: int, seq: int) -> int:
+        a1, b1, a2, b2, gid, since = rows
         x1, y1, x2, y2 = box
         wide, high = np.minimum(a2, x2) - np.maximum(a1, x1), np.minimum(b2, y2) - np.maximum(b1, y1)
         shared = np.maximum(wide, 0) * np.maximum(high, 0)
-        hits = gid[(shared / ((a2 - a1) * (b2 - b1) + area - shared) >= self.threshold) & (shared > 0)]
+        near = (shared / ((a2 - a1) * (b2 - b1) + area - shared) >= self.threshold) & (shared > 0)
+        hits = gid[near & (since < seq)]
         return int(hits.min()) if len(hits) else best
 
-    def _file(self, key: tuple, row: tuple) -> None:
-        cell = self.cells.setdefault(key, [np.empty((5, 4), np.int64), 0, row[4], []])
-        if cell[1] == cell[0].shape[1]:
-            cell[0] = np.concatenate([cell[0], np.empty_like(cell[0])], axis=1)
-        cell[0][:, cell[1]] = row
-        chunk = cell[1] // self.CHUNK
-        if chunk == len(cell[3]):
-            cell[3].append(row[4])
-        cell[3][chunk] = min(cell[3][chunk], row[4])
-        cell[1], cell[2] = cell[1] + 1, min(cell[2], row[4])
+    def _file(self, boxes: np.ndarray, gids: np.ndarray, seq: np.ndarray) -> None:
+        if not len(gids):
+            return
+        level = np.floor(np.log(boxes[2:] - boxes[:2]) / self.log).astype(np.int64)
+        place = np.floor(boxes[:2] / self.base ** (level + 1.0)).astype(np.int64)
+        keys = np.stack([level[0], place[0], level[1], place[1]])
+        order = np.lexsort(keys)
+        keys, rows = keys[:, order], np.concatenate([boxes, gids[None], seq[None]])[:, order]
+        starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        for a, b in zip(starts, [*starts[1:], len(gids)], strict=True):
+            self._add(tuple(keys[:, a].tolist()), rows[:, a:b])
+
+    def _add(self, key: tuple, rows: np.ndarray) -> None:
+        cell = self.cells.setdefault(key, [np.empty((6, 4), np.int64), 0, int(rows[4, 0]), []])
+        held, n, first, chunks = cell
+        end = n + rows.shape[1]
+        if end > held.shape[1]:
+            cell[0] = np.concatenate([held[:, :n], np.empty((6, 2 * end - n), np.int64)], axis=1)
+        cell[0][:, n:end] = rows
+        for k in range(n // self.CHUNK, (end - 1) // self.CHUNK + 1):
+            own = int(cell[0][4, max(n, k * self.CHUNK) : min(end, (k + 1) * self.CHUNK)].min())
+            if k == len(chunks):
+                chunks.append(own)
+            chunks[k] = min(chunks[k], own)
+        cell[1], cell[2] = end, min(first, *chunks[n // self.CHUNK :])
 
 
 def _group_in_order(det: DataFrame, threshold: float) -> DataFrame:
@@ -256,14 +424,16 @@ def _group_in_order(det: DataFrame, threshold: float) -> DataFrame:
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, visited = None, _Visited(threshold)
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in (*_GROUP, "det_seq", *schemas.BOX_COLUMNS)), strict=True)
-            gids = []
-            for frame, cls, seq, *box in rows:
-                if (frame, cls) != group:
-                    group, visited = (frame, cls), _Visited(threshold)
-                gids.append(visited.group(seq, *box))
+            frame, cls = (batch.column(c).to_numpy(zero_copy_only=False) for c in _GROUP)
+            seq = batch.column("det_seq").to_numpy().astype(np.int64)
+            boxes = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in schemas.BOX_COLUMNS])
+            starts = np.flatnonzero(np.r_[True, (frame[1:] != frame[:-1]) | (cls[1:] != cls[:-1])]) if len(seq) else []
+            for a, b in zip(starts, [*starts[1:], len(seq)], strict=True):
+                if (frame[a], cls[a]) != group:
+                    group, visited = (frame[a], cls[a]), _Visited(threshold)
+                seq[a:b] = visited.groups(seq[a:b], boxes[:, a:b])
             last = batch.schema.get_field_index("gid")
-            yield batch.set_column(last, batch.schema.field(last), pa.array(gids, batch.schema.field(last).type))
+            yield batch.set_column(last, batch.schema.field(last), pa.array(seq).cast(batch.schema.field(last).type))
 
     return det.repartition(tasks, *_GROUP).sortWithinPartitions(*_GROUP, "det_seq").mapInArrow(visit, det.schema)
 

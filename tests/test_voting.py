@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,27 @@ def test_crowded_frames_are_visited_without_pairs(spark, monkeypatch):
     assert gids(voting.vote_groups(det(spark, *frames), ALL)) == wanted(*frames)
     loose = Params(ensemble=True, iou_threshold=0.3)
     assert gids(voting.vote_groups(det(spark, *frames), loose)) == wanted(*frames, threshold=0.3)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("pairs", [(20_000_000, 2000), (500, 1)])
+def test_visits_in_blocks_against_brute_force(monkeypatch, threshold, pairs):
+    monkeypatch.setattr(voting._Visited, "PAIRS", pairs, raising=False)
+    monkeypatch.setattr(voting._Visited, "BLOCK", (4, 64), raising=False)
+    for seed, spread in enumerate((15, 60, 400, 4000)):
+        boxes = crowd(seed, 400, spread, size=(20, 60), copies=0.3, classes=1) + [(0, 5, 5, 5, 9), (0, -30, -9, 8, 40), (0, 5, 5, 5, 9)]
+        boxes += crowd(seed + 9, 200, spread, size=(1, 200), copies=0.1, classes=1)
+        visited, table = voting._Visited(threshold), np.array([b[1:] for b in boxes], np.int64).T
+        got = np.concatenate([visited.groups(np.arange(a + 1, min(a + 101, len(boxes) + 1)), table[:, a : a + 100]) for a in range(0, len(boxes), 100)])
+        assert dict(enumerate(got.tolist(), 1)) == grouped(boxes, threshold)
+
+
+def test_few_rows_of_a_crowd_are_visited_one_by_one(monkeypatch):
+    alone, visit = [], voting._Visited._group
+    monkeypatch.setattr(voting._Visited, "_group", lambda self, *row: alone.append(row) or visit(self, *row))
+    boxes = np.array([b[1:] for b in crowd(2, 20_000, 30, size=(20, 26), classes=1)], np.int64).T
+    far = boxes + np.array([[3000], [0], [3000], [0]])  # a second component
+    visited = voting._Visited(0.5)
+    both = np.stack([boxes, far], axis=2).reshape(4, -1)
+    assert set(visited.groups(np.arange(1, both.shape[1] + 1), both).tolist()) >= {1, 2}
+    assert len(alone) < 4000
