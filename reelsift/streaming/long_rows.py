@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,7 @@ _FOUND_OUT = {f.name: f.dataType.simpleString() for f in schemas.NESTED_DETECTIO
 _SLICE_OUT = ", ".join(
     f"{c} array<{t}>" for c, t in (_TYPES | _FOUND_OUT | dict.fromkeys(_RECT, "int") | {"d_nulls": "int", "r_nulls": "int"}).items()
 )
+KEPT_BATCHES = 2  # micro-batches whose state stays to start again from
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -69,6 +71,33 @@ def long_rows(reports: DataFrame, detections: DataFrame, regions: DataFrame, tim
     )
 
 
+def _stored(rows: dict[str, np.ndarray]) -> bytes:
+    """``rows`` for the state: the bytes of numbers by significance, names by their place in a list, compressed."""
+    parts = {}
+    for c, v in rows.items():
+        if v.dtype == object:
+            names = pa.array(v, pa.string(), from_pandas=True).dictionary_encode()
+            parts[c] = names.dictionary.to_pylist(), names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        else:
+            parts[c] = v.dtype.str, np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+    raw = pickle.dumps(parts, protocol=5)
+    return b"z" + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _restored(stored: bytes) -> dict[str, np.ndarray]:
+    if stored[:1] != b"z":  # as it was stored before it was compressed
+        return pickle.loads(stored)
+    rows = {}
+    raw = pa.decompress(stored[9:], int.from_bytes(stored[1:9], "little"), codec="zstd", asbytes=True)
+    for c, (kind, v) in pickle.loads(raw).items():
+        if isinstance(kind, str):
+            width = np.dtype(kind).itemsize
+            rows[c] = np.ascontiguousarray(np.frombuffer(v, np.uint8).reshape(width, len(v) // width).T).view(kind).ravel()
+        else:
+            rows[c] = np.array([*kind, None], object)[v]
+    return rows
+
+
 class _Gathering:
     """Frames of a slice of a video: the rows that have come until a frame goes out, and one row from then on.
 
@@ -79,7 +108,7 @@ class _Gathering:
         self.sources = sources
 
     def step(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [pickle.loads(state.get[0])] if state.exists else []
+        held = [_restored(bytes(state.get[0]))] if state.exists else []
         parts = held + [{c: b[c].to_numpy() for c in _COLUMNS} for b in batches if len(b)]
         if not parts:
             return
@@ -105,7 +134,7 @@ class _Gathering:
             return
         rows = {c: v[kept] for c, v in rows.items()}
         rows["_kind"] = np.where(whole[of][kept], _OUT, rows["_kind"]).astype(np.int32)
-        state.update((pickle.dumps(rows, protocol=5),))
+        state.update((_stored(rows),))
         state.setTimeoutTimestamp(max(1, int(rows["_millis"].min())))
 
     def _complete(self, rows: dict[str, np.ndarray], of: np.ndarray, n: int) -> np.ndarray:
@@ -206,14 +235,21 @@ def gather_frames(
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams started within keep their state in ``STATE_STORE``, from their first start on."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_STORE)
+    """Streams started within keep their state in ``STATE_STORE``, from their first start on.
+
+    Of the states of earlier micro-batches only those of the last ``KEPT_BATCHES`` stay, unless it is set how many.
+    """
+    keys = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if spark.conf.get("spark.sql.streaming.minBatchesToRetain", None) is None:
+        keys["spark.sql.streaming.minBatchesToRetain"] = str(KEPT_BATCHES)
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, was) if was else spark.conf.unset(key)
+        for k, v in was.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def late_rows(query: StreamingQuery) -> int:

@@ -1,9 +1,12 @@
 """Streams that keep state or tables of their own: equal to batch, also when batches come again."""
 
 import datetime
+import pickle
 import subprocess
 import sys
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -310,6 +313,21 @@ def test_second_pass_keeps_only_detections_that_vote(spark, tmp_path, halves):
     assert any(b"detections" in k for k in kept) and not any(b"regions" in k for k in kept)
 
 
+def test_state_of_single_rows_is_compressed():
+    n = 5000
+    rows = {c: np.arange(n, dtype=np.int64 if c == "frame_key" else np.int32) // 8 for c in lr._COLUMNS}
+    rows["confidence"] = np.where(np.arange(n) % 3 == 0, np.nan, 0.5)
+    rows["model_source"] = np.array([("yolo", None, "detr")[i % 3] for i in range(n)], object)
+    plain = pickle.dumps(rows, protocol=5)
+    stored = lr._stored(rows)
+    for back in (lr._restored(stored), lr._restored(plain)):
+        assert list(back) == list(rows)
+        assert all(back[c].dtype == v.dtype and pd.Series(back[c]).equals(pd.Series(v)) for c, v in rows.items())
+    assert 10 * len(stored) < len(plain)
+    none = lr._restored(lr._stored({c: v[:0] for c, v in rows.items()}))
+    assert all(len(none[c]) == 0 and none[c].dtype == v.dtype for c, v in rows.items())
+
+
 def test_text_gate_waits_for_regions(spark, tmp_path):
     frame = T.StructType([*schemas.FRAMES.fields, T.StructField("event_time", T.TimestampType())])
     now = datetime.datetime(2026, 1, 1)
