@@ -313,6 +313,16 @@ def test_second_pass_keeps_only_detections_that_vote(spark, tmp_path, halves):
     assert any(b"detections" in k for k in kept) and not any(b"regions" in k for k in kept)
 
 
+def test_second_pass_keeps_its_state_outside_the_heap(spark, tmp_path, halves):
+    t, parts = halves
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    full = timed(parts[0]).limit(20)
+    streams = arriving(spark, full, tmp_path / "quick"), arriving(spark, full, tmp_path / "full")
+    sinks.stream_two_pass(*streams, str(tmp_path / "out"), str(tmp_path / "state"), ALL, delay="1000 days").awaitTermination()
+    assert lr.STATE_STORE in (tmp_path / "state" / "offsets" / "0").read_text()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
 def test_state_of_single_rows_is_compressed():
     n = 5000
     rows = {c: np.arange(n, dtype=np.int64 if c == "frame_key" else np.int32) // 8 for c in lr._COLUMNS}
